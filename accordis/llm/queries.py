@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordis.llm import mixing, quality_classifier, quality_rules, secrets, sharding
+from accordis.llm import jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality_classifier.quality_scores(_t(spark, d, "documents"), _t(spark, d, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_t(spark, d, "documents"))
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,5 +37,5 @@ def op6_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_mixing, op5_secret_scans, op6_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding)}
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
@@ -68,3 +68,29 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if now == was:
             return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
         was = now
+
+
+def resolve(lists: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], width: int = 8) -> DataFrame:
+    """Components (node, root) under links that are sought among members of a list, without all pairs of a list.
+
+    lists: list, node (repeats are ignored); pairs: a, b to test besides. links(pairs) returns those that link. First
+    each list's smallest node meets the others. As long as a list holds two components, up to `width` of its nodes,
+    of different components and four times as many each round, meet all nodes of other components and then leave
+    it: every pair of a list is tested or lies within a component. All steps are joins and combined minima.
+    """
+    members = written(lists.select("list", "node").distinct(), "members")
+    lead = members.groupBy("list").agg(F.min("node").alias("lead"))
+    roots = components(links(pairs.unionByName(members.join(lead, "list").where("node <> lead").selectExpr("lead as a", "node as b"))), "roots")
+    members = members.join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
+    while True:
+        now = members.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+        split = now.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+        members = written(now.join(split, "list"), "members")
+        if not members.head(1):
+            return roots
+        lead = members.groupBy("list", "root").agg(F.min("node").alias("lead"))
+        lead = written(lead.withColumn("i", F.row_number().over(Window.partitionBy("list").orderBy("root"))).where(F.col("i") <= width).select("list", F.col("root").alias("lead_root"), "lead"), "leads")
+        found = links(members.join(lead, "list").where("root <> lead_root").selectExpr("lead as a", "node as b"))
+        roots = components(roots.selectExpr("node as a", "root as b").unionByName(found), "roots")
+        members = members.select("list", "node").join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
+        width *= 4
