@@ -30,6 +30,7 @@ MASK = U((1 << TOKEN_BITS) - 1)
 SKETCH = 2048
 SMALL_LIST = 6
 ENTRIES = 400_000  # postings of a block, on average
+HOT = 20_000  # sets that hold a column from which on it is dealt by row
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -279,31 +280,48 @@ class _Verifier:
         return written(map_arrow(p, _overlaps(self.num, self.den), "a long, b long"), "links")
 
 
-def jaccard_join(docs: DataFrame, *, k: int = K, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document.
-
-    docs: doc_id (unique where not null), text; other columns are ignored. Two documents link when den x
-    intersection >= num x union of their sets of distinct k-word shingles (A-Z lower-cased; fewer words: the whole
-    sequence as one shingle). Null, empty or blank text: no shingles, a component of its own. Equal texts are linked
-    even where doc_ids repeat; a null doc_id is in its class but never names a component (it is null if all are).
-    Empty table: no rows.
-    """
+def classes(docs: DataFrame, k: int = K, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, th (hash of the text), n (size of its set), sid and root (equal within a component) of each document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     prof = written(map_arrow(base, _profiles(k), "doc_id long, th long, n long, sid long, sketch binary, heavy binary"), "profiles")
     total = prof.agg(F.count("*"), F.sum("n")).first()
-    slim = prof.select("doc_id", "n", "sid")
+    slim = prof.select("doc_id", "th", "n", "sid")
     if not total[1]:
-        return slim.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return slim.withColumn("root", F.col("sid"))
     heavy, counts = heavy_tokens(prof, total[0])
     blocks = max(8, int(total[1]) * (den - num) // den // ENTRIES)
-    salts = max(8, blocks // 2)
-    packed = map_arrow(base.select("text"), _postings(k, num, den, heavy, counts, blocks, 20_000, salts), "block int, tokens binary, sids binary")
+    packed = map_arrow(base.select("text"), _postings(k, num, den, heavy, counts, blocks, HOT, max(8, blocks // 2)), "block int, tokens binary, sids binary")
     lists = written(packed.groupBy("block").applyInArrow(_lists(blocks), "list long, a long, b long"), "lists")
-    reps = prof.where("n > 0").groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = written(reps, "reps")
+    reps = written(prof.where("n > 0").groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps")
     check = _Verifier(base, reps, k, num, den)
     roots = resolve(lists.where("list is not null").selectExpr("list", "a as node"), lists.where("list is null").select("a", "b"), check.links)
-    out = slim.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+    return slim.join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "th", "n", "sid", F.coalesce("root", "sid").alias("root"))
+
+
+def jaccard_join(docs: DataFrame, *, k: int = K, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document.
+
+    docs: doc_id, text; other columns are ignored. Two documents link when den x intersection >= num x union of
+    their sets of distinct k-word shingles (A-Z lower-cased; fewer words: the whole sequence as one shingle). Null,
+    empty or blank text: no shingles, a component of its own. Repeated rows give repeated results. A null doc_id is
+    in its class but never names a component (it is null if all are). Empty table: no rows.
+    """
+    out = classes(docs, k, num, den)
     names = out.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = out.join(names, "root", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of linked ones, all columns: the smallest doc_id (a null one last), then the smallest
+    hash of the text; repeated rows of it are one. Documents without words all stay, repeated rows too."""
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+    rows = written(classes(docs, **options).where("n > 0").groupBy("root", "doc_id", "th").agg(F.count("*").alias("c")), "rows")
+    keep = rows.groupBy("root").agg(F.min(key).alias("k"))
+    marked = rows.join(keep, "root").select("doc_id", "th", "c", (F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.th") == F.col("th"))).alias("kept"))
+    marked = written(marked.where("not kept or c > 1"), "marked")
+    out = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col("text").cast("string"))})
+    mark = marked.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th"), "kept")
+    rest = out.join(mark.drop("kept"), ["__id", "__th"], "left_anti")
+    again = out.join(mark.where("kept").drop("kept"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return rest.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -113,8 +113,8 @@ def _cuts(rows: DataFrame, want: dict[int, float], rounds: int = 6, bits: int =
     return best
 
 
-def mix(docs: DataFrame, *, members: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target, times (copies that the mix takes) and taken (times x size).
+def _planned(docs: DataFrame, *, members: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
+    """docs with __size, __source_size, __target and __times.
 
     members: an array of the sources that a document belongs to (default: its source alone). Documents are summed
     by membership pattern; each pattern's tokens, `most` copies at most and dearer with each, flow to the sources'
@@ -124,9 +124,6 @@ def mix(docs: DataFrame, *, members: Column | None = None, weights: tuple[float,
     those of a document's first source. Empty table: no rows. A source's tokens miss its target by less than
     about one document. Reruns agree; repeated rows (same doc_id and text) are taken together.
     """
-    names = {c.lower() for c in docs.columns}
-    own = [c for c in ("size", "source_size", "target", "times", "taken") if c in names]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
     group = members if members is not None else F.array(F.col("source").cast("string"))
     # One value for a null source: an array may hold it, a map key may not.
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sort_array(F.array_distinct(group)).alias("in_"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
@@ -147,14 +144,30 @@ def mix(docs: DataFrame, *, members: Column | None = None, weights: tuple[float,
             part[i] = f - whole[i] * t
     spark = docs.sparkSession
     # As many rows as patterns; of one size with what the driver already holds.
-    table = spark.createDataFrame([(i, list(p), whole[i], sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0) for i, p in enumerate(patterns)], "pattern int, in_ array<string>, whole int, source_size long, target double")
+    table = spark.createDataFrame([(i, list(p), whole[i], sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0) for i, p in enumerate(patterns)], "pattern int, in_ array<string>, whole int, __source_size long, __target double")
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "th"), 4)
     keyed = thin.join(F.broadcast(table.select("pattern", F.col("in_").alias("in2"))), F.col("in_").eqNullSafe(F.col("in2"))).select("pattern", "size", key.alias("key"))
     cut = _cuts(keyed, part) if part else {}
     cuts = spark.createDataFrame([(i, cut.get(i, -1)) for i in range(len(patterns))], "pattern int, cut long")
     plan = table.join(cuts, "pattern").withColumnRenamed("in_", "in2").drop("pattern")
     out = docs.withColumn("__in", F.sort_array(F.array_distinct(group))).withColumn("__key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")), 4))
-    out = out.withColumn("size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+    out = out.withColumn("__size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     out = out.join(F.broadcast(plan), F.col("__in").eqNullSafe(F.col("in2")))
-    out = out.withColumn("times", F.col("whole") + (F.col("__key") <= F.col("cut")).cast("int")).withColumn("taken", F.col("times") * F.col("size"))
-    return out.drop("__in", "__key", "in2", "whole", "cut")
+    return out.withColumn("__times", F.col("whole") + (F.col("__key") <= F.col("cut")).cast("int")).drop("__in", "__key", "in2", "whole", "cut")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target, times (copies that the mix takes) and taken (times x size); columns of docs
+    with these names give way. Options and cases: see _planned."""
+    own = {"size", "source_size", "target", "times", "taken"}
+    out = _planned(docs, **options)
+    out = out.drop(*[c for c in docs.columns if c.lower() in own])
+    for c in ("size", "source_size", "target", "times"):
+        out = out.withColumnRenamed(f"__{c}", c)
+    return out.withColumn("taken", F.col("times") * F.col("size"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document of docs as often as it is taken, in the columns of docs."""
+    out = _planned(docs, **options).where("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

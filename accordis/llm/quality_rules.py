@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm.shared import written
-from accordis.llm.stats import BASE, FEATURES, with_stats
+from accordis.llm.stats import BASE, FEATURES, annotated, with_stats
 
 
 @dataclass
@@ -24,9 +24,10 @@ class Rule:
             out &= x[f] <= t if op == "<=" else x[f] > t
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = F.lit(True)
         for f, op, t in self.tests:
+            f = prefix + f
             out = out & (F.col(f) <= F.lit(t) if op == "<=" else F.col(f) > F.lit(t))
         return out
 
@@ -100,16 +101,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.9,
     return out
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """The decision list as one ordered conditional: the first rule that holds rejects, else the row is kept."""
     out = F
     for r in rules:
-        out = out.when(r.column(), F.lit(False))
+        out = out.when(r.column(prefix), F.lit(False))
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, sample: int, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -133,6 +135,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, p
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
 
 
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents, all columns, that the base and the learnt rules keep (cases: see quality_rules)."""
+    _, rules = quality_rules(docs, labels, **options)
+    q = "__q_"
+    return annotated(docs).where(~base_failed(q) & verdict(rules, q)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out, _ = quality_rules(docs, labels)
     return out.select("doc_id", *BASE, "base_failed", "kept")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordis.llm import jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding
+from accordis.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +37,9 @@ def op6_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding)}
+def op8_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding, op8_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from accordis.llm import text as tx
-from accordis.llm.shared import map_arrow
+from accordis.llm.shared import arrow_batches, map_arrow
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios and logarithms that rules and kernels are learnt from.
@@ -100,3 +101,19 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_stats(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts and the features of each document; a null text counts as an empty one."""
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _batches, STATS_SCHEMA)
+
+
+def annotated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with the statistics as __q_<name>; row by row, so null and repeated ids are no matter."""
+    column = docs.columns.index("text")
+    kind = StructType([*docs.schema.fields, *(StructField(f"__q_{c}", LongType() if c in BASE else DoubleType()) for c in BASE + FEATURES)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo, hi, data, offs in tx.steps(batch.column(column)):
+                s, part = document_stats(data, offs), batch.slice(lo, hi - lo)
+                more = [pa.array(s[c].astype(np.int64 if c in BASE else np.float64)) for c in BASE + FEATURES]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(f"__q_{c}" for c in BASE + FEATURES)])
+
+    arrow_batches(docs.sparkSession)
+    return docs.mapInArrow(run, kind)
