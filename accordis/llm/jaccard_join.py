@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a blocked sparse product of documents by shingles, bounded by set sizes, then components.
 
 Documents with equal shingle sets are one row of the incidence matrix (its `sid`). Shingles are ordered by how
-many documents hold them (frequent ones last, by counted heavy hitters) and then by hash; two sets of Jaccard
+many sets hold them (the most frequent ones, which are counted, last) and then by hash; two sets of Jaccard
 similarity t share one of the first n - ceil(t n) + 1 shingles of each, so only those columns are multiplied. The
 columns are dealt into blocks; a block's task sorts its postings, and a posting list that equals another's is
 multiplied once. Short lists give their pairs. Long ones (and hot columns, which are dealt by row instead) are
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.shared import map_arrow, resolve, written
+from accordis.llm.shared import dropped, lean, map_arrow, resolve, written
 
 U = np.uint64
 K = 5
@@ -63,42 +63,85 @@ def _bin(values: np.ndarray, width: int) -> pa.Array:
 
 def _profiles(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "n", "sid", "sketch", "heavy"]
+        names = ["doc_id", "th", "n", "sid", "sketch"]
         for batch in it:
             ids = batch.column(0)
             for lo, hi, data, offs in tx.steps(batch.column(2)):
                 key, first = shingle_sets(data, offs, k)
                 m, n = hi - lo, np.diff(first)
-                tok = key & MASK
                 row = np.repeat(np.arange(m), n)
-                odd = np.bincount(row * SKETCH + (tok & U(SKETCH - 1)).astype(np.int64), minlength=m * SKETCH) & 1
+                odd = np.bincount(row * SKETCH + (key & U(SKETCH - 1)).astype(np.int64), minlength=m * SKETCH) & 1
                 sketch = np.packbits(odd.astype(bool).reshape(m, SKETCH), axis=1)
-                sid = set_ids(key, first)
-                # Tokens of three or more different sets of this step.
-                _, at = np.unique(sid, return_index=True)
-                one = np.zeros(m, bool)
-                one[at] = True
-                t = np.sort(tok[np.repeat(one, n)])
-                begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
-                runs = np.diff(np.concatenate([begin, [len(t)]]))
-                many = runs >= 3
-                packed = np.column_stack([t[begin[many]].view(np.int64), runs[many]]).astype(np.int64).tobytes() if many.any() else None
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, m), batch.column(1).slice(lo, m), pa.array(n.astype(np.int64)), pa.array(sid), _bin(sketch, SKETCH // 8), pa.array([packed] + [None] * (m - 1), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, m), batch.column(1).slice(lo, m), pa.array(n.astype(np.int64)), pa.array(set_ids(key, first)), _bin(sketch, SKETCH // 8)], names)
 
     return run
 
 
-def _unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for v in b.column(0):
-            a = np.frombuffer(v.as_py(), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["token", "c"])
+def _counted(k: int, low: int, ranges: int):
+    """Tokens under `low` and in how many different sets of a unit they are, packed by range; 5 bytes a token."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t = np.sort(np.concatenate(held))
+            held.clear()
+            begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
+            c = np.minimum(np.diff(np.concatenate([begin, [len(t)]])), 255).astype(np.uint8) if len(t) else np.zeros(0, np.uint8)
+            t = t[begin]
+            edge = np.searchsorted(t, np.array([low * r // ranges for r in range(ranges)], U)).tolist()
+            raw = np.column_stack([t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], c])
+            parts = [(r, raw[a:z].tobytes()) for r, (a, z) in enumerate(zip(edge, [*edge[1:], len(t)], strict=True)) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["range", "tokens"])
 
-def heavy_tokens(profiles: DataFrame, documents: int, share: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, and their counts (of steps in which they stand out). At most the mean set
-    size / share of them can exist, whatever the number of documents, so they fit a broadcast."""
-    t = map_arrow(profiles.where("heavy is not null").select("heavy"), _unpack, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= share * documents)
+        size = 0
+        for batch in it:
+            for _, _, data, offs in tx.steps(batch.column(0)):
+                key, first = shingle_sets(data, offs, k)
+                fresh = []
+                for s in set_ids(key, first).tolist():
+                    fresh.append(s not in seen)
+                    seen.add(s)
+                t = key[np.repeat(np.array(fresh, bool), np.diff(first))] & MASK
+                held.append(t[t < U(low)])
+                size += len(data)
+                if size > 16 << 20:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+def _frequent(least: int):
+    def run(t: pa.Table) -> pa.Table:
+        raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 8) for x in t.column("tokens")])
+        wide = raw.copy()
+        wide[:, 7] = 0
+        tok, c = wide.view("<u8").ravel(), raw[:, 7].astype(np.int64)
+        order = np.argsort(tok)
+        tok, c = tok[order], c[order]
+        begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        c = np.add.reduceat(c, begin)
+        return pa.table({"token": pa.array(tok[begin][c >= least].view(np.int64)), "c": pa.array(c[c >= least])})
+
+    return run
+
+
+def frequent_tokens(texts: DataFrame, k: int, shingles: int, share: float, most: int = 1_000_000, least: int = SMALL_LIST + 1) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` tokens (8 MB of a broadcast) that the most sets hold, of at least `least` sets, and their counts.
+
+    Only tokens of the low `share` of the hash order are counted: prefixes are taken from there. The order that
+    follows is exact for any choice; counting keeps what many documents share out of the prefixes."""
+    low = int(share * (1 << TOKEN_BITS))
+    ranges = max(1, int(shingles * share) // (2 * ENTRIES))
+    t = map_arrow(texts, _counted(k, low, ranges), "range int, tokens binary").groupBy("range").applyInArrow(_frequent(least), "token long, c long")
+    t = written(t, "frequent")
+    if t.count() > most:
+        t = t.orderBy(F.desc("c"), "token").limit(most)
     p = t.toPandas().sort_values("token")
     return p["token"].to_numpy(np.int64).view(U), p["c"].to_numpy(np.int64)
 
@@ -209,20 +252,12 @@ def _lists(blocks: int):
     return run
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
+def _bound(num: int, den: int):
+    """Sizes and parity sketches that allow the threshold: the symmetric difference has at least the bits that differ."""
 
-def _sketched(num: int, den: int):
-    """Keeps pairs whose sizes and parity sketches allow the threshold: |x ^ y| >= bits that differ."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
-            x, y = (np.frombuffer(b.column(c).cast(pa.binary(SKETCH // 8)).buffers()[1], np.uint8)[b.column(c).offset * 256 :][: b.num_rows * 256].reshape(-1, 256) for c in ("x", "y"))
-            differ = _POP[x ^ y].sum(1, dtype=np.int64)
-            # overlap = (n + m - d) / 2 and union = (n + m + d) / 2 for a symmetric difference of d
-            ok = (den * (n + m - differ) >= num * (n + m + differ)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+    def run(n: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        # overlap = (n + m - d) / 2 and union = (n + m + d) / 2 for a symmetric difference of d
+        return (den * (n + m - d) >= num * (n + m + d)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
     return run
 
@@ -263,38 +298,42 @@ def _overlaps(num: int, den: int):
 
 
 class _Verifier:
+    """Exact overlaps of pairs; sets are taken from the texts once and kept."""
+
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int):
         self.docs, self.reps, self.k, self.num, self.den = docs, reps, k, num, den
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets meet the threshold."""
-        r = self.reps
-        p = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct()
-        p = p.join(r.selectExpr("sid as a", "n", "sketch as x"), "a").join(r.selectExpr("sid as b", "n as m", "sketch as y"), "b")
-        p = p.where(f"{self.den} * least(n, m) >= {self.num} * greatest(n, m)")
-        p = written(map_arrow(p, _sketched(self.num, self.den), "a long, b long"), "pairs")
-        need = p.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(r.select("sid", "th"), "sid").select("th")
-        texts = self.docs.join(need, "th", "left_semi").select("text")
-        sets = written(map_arrow(texts, _pack_sets(self.k), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
-        p = p.join(sets.selectExpr("sid as b", "tokens as y"), "b").join(sets.selectExpr("sid as a", "tokens as x"), "a")
-        return written(map_arrow(p, _overlaps(self.num, self.den), "a long, b long"), "links")
+        self.sets: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets.select("sid"), "sid", "left_anti")
+        need = written(need.join(self.reps.select("sid", "th"), "sid").select("th"), "need")
+        found = map_arrow(self.docs.join(lean(need), "th", "left_semi").select("text"), _pack_sets(self.k), "sid long, tokens binary").dropDuplicates(["sid"])
+        found = written(found, "sets")
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
+        p = lean(pairs).join(self.sets.selectExpr("sid as b", "tokens as y"), "b").join(self.sets.selectExpr("sid as a", "tokens as x"), "a")
+        out = written(map_arrow(p, _overlaps(self.num, self.den), "a long, b long"), "links")
+        dropped(need)
+        return out
 
 
 def classes(docs: DataFrame, k: int = K, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, th (hash of the text), n (size of its set), sid and root (equal within a component) of each document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    prof = written(map_arrow(base, _profiles(k), "doc_id long, th long, n long, sid long, sketch binary, heavy binary"), "profiles")
+    prof = written(map_arrow(base, _profiles(k), "doc_id long, th long, n long, sid long, sketch binary"), "profiles")
     total = prof.agg(F.count("*"), F.sum("n")).first()
     slim = prof.select("doc_id", "th", "n", "sid")
     if not total[1]:
         return slim.withColumn("root", F.col("sid"))
-    heavy, counts = heavy_tokens(prof, total[0])
+    # A tenth more than a prefix, so that what replaces frequent tokens in it is counted too.
+    heavy, counts = frequent_tokens(base.select("text"), k, int(total[1]), min(1.0, (den - num) / den + 0.1))
     blocks = max(8, int(total[1]) * (den - num) // den // ENTRIES)
     packed = map_arrow(base.select("text"), _postings(k, num, den, heavy, counts, blocks, HOT, max(8, blocks // 2)), "block int, tokens binary, sids binary")
     lists = written(packed.groupBy("block").applyInArrow(_lists(blocks), "list long, a long, b long"), "lists")
     reps = written(prof.where("n > 0").groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps")
     check = _Verifier(base, reps, k, num, den)
-    roots = resolve(lists.where("list is not null").selectExpr("list", "a as node"), lists.where("list is null").select("a", "b"), check.links)
+    roots = resolve(lists.where("list is not null").selectExpr("list", "a as node"), lists.where("list is null").select("a", "b"), reps.selectExpr("sid as node", "n", "sketch"), _bound(num, den), check.verify)
     return slim.join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "th", "n", "sid", F.coalesce("root", "sid").alias("root"))
 
 

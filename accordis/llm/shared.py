@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/accordis-{tag}-{uuid.uuid4().hex}"
+    began = time.time()
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._accordis_path = path
+    if time.time() - began > 0.7 and hasattr(spark, "_jvm"):
+        # Spark drops the shuffle files of plans that are no longer reachable when the driver collects garbage; a
+        # driver with much memory may not do so for long, and finished steps' files would fill the disks.
+        gc.collect()
+        spark._jvm.System.gc()
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written() tables that nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "_accordis_path", None)) and hasattr(t.sparkSession, "_jvm"):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def lean(table: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A written() table of a few numbers a row: broadcast if its counted rows are few, else left to a shuffle join."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -52,10 +77,13 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     edge. Nulls, loops and repeated edges are ignored. Ends when a pass changes nothing. Each step is an
     aggregation of minima (combined on the map side) and an equality join.
     """
-    mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     e = written(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), tag)
-    was = mark(e)
     while True:
+        # Done when every node has one parent and no parent has one.
+        twice = e.groupBy("a").count().where("count > 1").select("a").limit(1)
+        chain = e.join(e.selectExpr("a as b"), "b", "left_semi").select("a").limit(1)
+        if not twice.unionByName(chain).head(1):
+            return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
         # Large star: link larger neighbours to the smallest neighbour.
         both = e.unionByName(e.selectExpr("b as a", "a as b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -63,34 +91,148 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         # Small star: link smaller neighbours, and the node itself, to the smallest.
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").where("b <> m").selectExpr("b as a", "m as b").unionByName(low2.selectExpr("a", "m as b")).distinct()
-        e = written(small, tag)
-        now = mark(e)
-        if now == was:
-            return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
-        was = now
-
-
-def resolve(lists: DataFrame, pairs: DataFrame, links: Callable[[DataFrame], DataFrame], width: int = 8) -> DataFrame:
-    """Components (node, root) under links that are sought among members of a list, without all pairs of a list.
-
-    lists: list, node (repeats are ignored); pairs: a, b to test besides. links(pairs) returns those that link. First
-    each list's smallest node meets the others. As long as a list holds two components, up to `width` of its nodes,
-    of different components and four times as many each round, meet all nodes of other components and then leave
-    it: every pair of a list is tested or lies within a component. All steps are joins and combined minima.
+        old, e = e, written(small, tag)
+        dropped(old)
+
+
+_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Nodes of a list that one task compares (with sketches of 256 bytes, a megabyte); larger lists are thinned in rounds.
+IN_TASK = 4096
+
+Bound = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if x.shape[-1] % 8 == 0:
+        return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(-1, dtype=np.int64)
+    return _POP[x ^ y].sum(-1, dtype=np.int64)
+
+
+def _screened(bound: Bound):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                d = _differ(_sketches(b.column("x")), _sketches(b.column("y")))
+                ok = bound(b.column("n").to_numpy(), b.column("m").to_numpy(), d)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d)], ["a", "b", "d"]).filter(pa.array(ok))
+
+    return run
+
+
+def _inside(bound: Bound, nearest: bool):
+    """Pairs of a list's nodes of different components within the bound; nearest: one for each node only.
+
+    Two nodes with the same `top` (the largest list that holds them) meet in that list alone."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        name = t.column("list")[0].as_py()
+        node, root, top, n = (t.column(c).to_numpy() for c in ("node", "root", "top", "n"))
+        s = _sketches(t.column("sketch").combine_chunks())
+        _, kind = np.unique(top, return_inverse=True)
+        here = top == name
+        out: list[np.ndarray] = []
+        rows = max(1, (1 << 16) // max(1, len(node)))
+        order = np.argsort(kind, kind="stable")
+        node, root, n, s, kind, here = node[order], root[order], n[order], s[order], kind[order], here[order]
+        ends = np.searchsorted(kind, kind, "right")
+        for i in range(0, len(node), rows):
+            part = slice(i, min(i + rows, len(node)))
+            # Later nodes, from behind the own top's others unless this list is that top.
+            lo = int(min(np.where(here[part], np.arange(part.start, part.stop) + 1, ends[part])))
+            if lo >= len(node):
+                continue
+            cols = slice(lo, len(node))
+            where = np.arange(part.start, part.stop)[:, None] < np.arange(lo, len(node))[None, :]
+            where &= (root[part, None] != root[None, cols]) & ((kind[part, None] != kind[None, cols]) | here[part, None])
+            x, y = np.nonzero(where)
+            for j in range(0, len(x), 1 << 16):
+                p, q = x[j : j + (1 << 16)] + part.start, y[j : j + (1 << 16)] + lo
+                d = _differ(s[p], s[q])
+                ok = bound(n[p], n[q], d)
+                out.append(np.column_stack([node[p[ok]], node[q[ok]], d[ok]]))
+        v = np.concatenate([*out, np.zeros((0, 3), np.int64)])
+        v[:, 0], v[:, 1] = np.minimum(v[:, 0], v[:, 1]), np.maximum(v[:, 0], v[:, 1])
+        if nearest and len(v):
+            both = np.concatenate([v, v[:, [1, 0, 2]]])
+            both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+            v = both[np.concatenate([[True], both[1:, 0] != both[:-1, 0]])]
+            v[:, 0], v[:, 1] = np.minimum(v[:, 0], v[:, 1]), np.maximum(v[:, 0], v[:, 1])
+        v = np.unique(v, axis=0)
+        return pa.table({"a": v[:, 0], "b": v[:, 1], "d": v[:, 2]})
+
+    return run
+
+
+def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame], width: int = 8) -> DataFrame:
+    """Components (node, root) under links that are sought among members of a list, without all pairs of a large list.
+
+    lists: list, node (repeats are ignored); pairs: a, b to test besides; features: node, n (long), sketch (binary);
+    bound(n, m, d) says which pairs may link whose sketches differ in d bits; verify(a, b) returns those that link.
+    First each list's smallest node meets the others. A list of over IN_TASK nodes that still holds two components is
+    thinned in rounds: up to `width` of its nodes, of different components and four times as many each round, meet
+    all nodes of other components and then leave it. Other lists compare the sketches of nodes of different
+    components in a task, first for each node's nearest, then for all pairs that are still apart. So every pair of a
+    list is tested or lies within a component. Of any pairs, each node's nearest is verified first, others only if
+    that has not joined them.
     """
+    roots: DataFrame | None = None
+
+    def apart(p: DataFrame) -> DataFrame:
+        q = p.join(roots.selectExpr("node as a", "root as ra"), "a", "left").join(roots.selectExpr("node as b", "root as rb"), "b", "left")
+        return q.where("coalesce(ra, a) <> coalesce(rb, b)").select(*p.columns)
+
+    def join_in(links: DataFrame) -> None:
+        nonlocal roots
+        if roots is None or links.head(1):
+            roots = components(links.select("a", "b") if roots is None else roots.selectExpr("node as a", "root as b").unionByName(links.select("a", "b")), "roots")
+
+    def screen(candidates: DataFrame) -> DataFrame:
+        p = written(candidates.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct(), "pairs")
+        q = lean(p).join(features.selectExpr("node as a", "n", "sketch as x"), "a").join(features.selectExpr("node as b", "n as m", "sketch as y"), "b")
+        return map_arrow(q, _screened(bound), "a long, b long, d long")
+
+    def test(near: DataFrame) -> None:
+        near = written(near.distinct(), "near")
+        first = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "first")
+        if roots is not None and not first.head(1):
+            return
+        join_in(verify(first))
+        rest = written(apart(near.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
+        if rest.head(1):
+            join_in(verify(rest))
+        dropped(near, first, rest)
+
+    def split(of: DataFrame) -> DataFrame:
+        now = of.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+        open_ = now.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("list", "c")
+        return written(now.join(open_, "list"), "members")
+
     members = written(lists.select("list", "node").distinct(), "members")
     lead = members.groupBy("list").agg(F.min("node").alias("lead"))
-    roots = components(links(pairs.unionByName(members.join(lead, "list").where("node <> lead").selectExpr("lead as a", "node as b"))), "roots")
-    members = members.join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
+    test(screen(pairs.select("a", "b").unionByName(members.join(lead, "list").where("node <> lead").selectExpr("lead as a", "node as b"))))
+    left = members.join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
     while True:
-        now = members.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-        split = now.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-        members = written(now.join(split, "list"), "members")
-        if not members.head(1):
-            return roots
-        lead = members.groupBy("list", "root").agg(F.min("node").alias("lead"))
+        members = split(left)
+        large = members.where(F.col("c") > IN_TASK)
+        if not large.head(1):
+            break
+        lead = large.groupBy("list", "root").agg(F.min("node").alias("lead"))
         lead = written(lead.withColumn("i", F.row_number().over(Window.partitionBy("list").orderBy("root"))).where(F.col("i") <= width).select("list", F.col("root").alias("lead_root"), "lead"), "leads")
-        found = links(members.join(lead, "list").where("root <> lead_root").selectExpr("lead as a", "node as b"))
-        roots = components(roots.selectExpr("node as a", "root as b").unionByName(found), "roots")
-        members = members.select("list", "node").join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
+        test(screen(large.join(lead, "list").where("root <> lead_root").selectExpr("lead as a", "node as b")))
+        left = members.select("list", "node").join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
         width *= 4
+    for nearest in (True, False):
+        if not members.head(1):
+            break
+        top = members.groupBy("node").agg(F.max_by("list", F.struct("c", "list")).alias("top"))
+        full = members.join(top, "node").join(features, "node").select("list", "node", "root", "top", "n", "sketch")
+        test(full.groupBy("list").applyInArrow(_inside(bound, nearest), "a long, b long, d long"))
+        if nearest:
+            members = split(members.select("list", "node"))
+    return roots
