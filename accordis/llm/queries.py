@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordis.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding
+from accordis.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,21 @@ def op6_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_t(spark, d, "documents")).select("doc_id", "start", "end", "words", "first_doc_id", "duplicate")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding, op8_benchmark_decontamination)}
+def op9_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_t(spark, d, "documents")).select("doc_id", "start_word", "end_word", "words", "first_doc_id", "duplicate")
+
+
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.report(_t(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding, op7_substring_dedup, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
