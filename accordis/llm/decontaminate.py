@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
@@ -32,15 +32,21 @@ def item_shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return g, np.searchsorted(doc, np.arange(len(offs))), (starts, ends, first)
 
 
-def simhash(windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Fingerprints of rows of shingle hashes: the sign of the weighted sum at each bit."""
-    out = np.zeros(len(windows), U)
-    for b in range(64):
-        one = ((windows >> U(b)) & U(1)).astype(np.int8) * 2 - 1
-        out |= ((one * weights).sum(1) > 0).astype(U) << U(b)
+_SHIFTS = np.arange(64, dtype=U)
+
+
+def signed_sums(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each bit, sums of +weight or -weight of the shingles before each place, with one more place at the end."""
+    out = np.zeros((len(h) + 1, 64))
+    np.cumsum((((h[:, None] >> _SHIFTS) & U(1)).astype(np.float64) * 2 - 1) * weights[:, None], axis=0, out=out[1:])
     return out
 
 
+def simhash(sums: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of 64 signed sums; sums of rounded zeros count as zero."""
+    return ((sums > 1e-6).astype(U) << _SHIFTS).sum(1, dtype=U)
+
+
 def blocks(radius: int) -> list[tuple[int, int]]:
     """radius + 1 ranges of the 64 bits: within the radius, one of them is equal."""
     n = radius + 1
@@ -48,48 +54,66 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
 
 
+@dataclass
+class Group:
+    """Items of one number of shingles: fingerprints, and for each block and value which items have it."""
+
+    items: np.ndarray
+    prints: np.ndarray
+    tables: list[np.ndarray]
+
+    @classmethod
+    def of(cls, items: list[int], prints: np.ndarray) -> Group:
+        own, tables = prints[items], []
+        for at, width in blocks(RADIUS):
+            value = (own >> U(at)) & U((1 << width) - 1)
+            tables.append(value[None, :] == np.arange(1 << width, dtype=U)[:, None])
+        return cls(np.array(items), own, tables)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) with fingerprints within the radius: those that agree in a block, then the exact count."""
+        maybe = np.zeros((len(prints), len(self.items)), bool)
+        for (at, width), t in zip(blocks(RADIUS), self.tables, strict=True):
+            maybe |= t[((prints >> U(at)) & U((1 << width) - 1)).astype(np.int64)]
+        w, i = np.nonzero(maybe)
+        ok = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+        return w[ok], self.items[i[ok]]
+
+
 @dataclass
 class Index:
     """Items by number of shingles and by each block of their fingerprints."""
 
     ids: list[int]
     counts: list[dict[int, int]]
-    prints: np.ndarray
-    weight: dict[int, float]
-    classes: dict[int, dict[tuple[int, int], list[int]]]
     vocabulary: np.ndarray
-    scale: float
+    weights: np.ndarray  # of the vocabulary
+    top: float  # weight of a shingle that no item holds
+    classes: dict[int, Group]
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], holders: dict[int, int], total: int) -> Index:
-        arr = pa.array([t for _, t in items], pa.string())
-        ids, counts, sizes = [], [], []
-        for lo, hi, data, offs in tx.steps(arr):
+        ids, rows = [], []
+        for lo, hi, data, offs in tx.steps(pa.array([t for _, t in items], pa.string())):
             g, first, _ = item_shingles(data, offs)
             for i in range(hi - lo):
-                own = g[first[i] : first[i + 1]].tolist()
-                if own:
+                if first[i + 1] > first[i]:
                     ids.append(items[lo + i][0])
-                    counts.append(dict(Counter(own)))
-                    sizes.append(len(own))
-        top = log(1 + max(total, 1))
-        weight = {h: log(1 + max(total, 1) / max(1, holders.get(h, 1))) for c in counts for h in c}
-        prints = np.zeros(len(ids), U)
-        classes: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, c in enumerate(counts):
-            row = np.array([[h for h, n in c.items() for _ in range(n)]], U)
-            prints[i] = simhash(row, np.array([[weight[h] for h in row[0].tolist()]]))[0]
-            for j, (at, width) in enumerate(blocks(RADIUS)):
-                classes[sizes[i]][j, (int(prints[i]) >> at) & ((1 << width) - 1)].append(i)
-        vocab = np.unique(np.array([h for c in counts for h in c], U))
-        return cls(ids, counts, prints, weight, {k: dict(v) for k, v in classes.items()}, vocab, top)
-
-    def similarity(self, item: int, window: list[int]) -> float:
+                    rows.append(g[first[i] : first[i + 1]])
+        vocab = np.unique(np.concatenate([*rows, np.zeros(0, U)]).astype(U))
+        total = max(total, 1)
+        weights = np.array([log(1 + total / max(1, holders.get(h, 1))) for h in vocab.tolist()])
+        prints, sizes = np.zeros(len(ids), U), {}
+        for i, r in enumerate(rows):
+            prints[i] = simhash(signed_sums(r, weights[np.searchsorted(vocab, r)])[-1:])[0]
+            sizes.setdefault(len(r), []).append(i)
+        return cls(ids, [dict(Counter(r.tolist())) for r in rows], vocab, weights, log(1 + total), {m: Group.of(v, prints) for m, v in sizes.items()})
+
+    def similarity(self, item: int, window: list[int], weight: dict[int, float]) -> float:
         c, w = self.counts[item], Counter(window)
         low = high = 0.0
         for h in c.keys() | w.keys():
-            x = self.weight.get(h, self.scale)
-            a, b = c.get(h, 0), w.get(h, 0)
+            x, a, b = weight.get(h, self.top), c.get(h, 0), w.get(h, 0)
             low += x * min(a, b)
             high += x * max(a, b)
         return low / high if high else 0.0
@@ -102,17 +126,36 @@ class Scanner:
         self.index, self.least = index, least
         self.table = np.zeros(1 << 20, bool)
         self.table[(index.vocabulary >> U(44)).astype(np.int64)] = True
-        self.blocks = blocks(RADIUS)
+        self.weight = dict(zip(index.vocabulary.tolist(), index.weights.tolist(), strict=True))
+        self.own = {i: (np.array(sorted(c), U), sum(n * self.weight[h] for h, n in c.items())) for i, c in enumerate(index.counts)}
 
-    def windows(self, h: np.ndarray, hit: np.ndarray, m: int) -> tuple[np.ndarray, int]:
+    def windows(self, c: np.ndarray, m: int) -> tuple[np.ndarray, int]:
         """Starts of windows of m shingles (a shorter text: all of it) that can be similar to an item: shingles that
-        no item holds weigh most, so at least `least` of a similar window's shingles are known ones."""
-        size = min(m, len(h))
-        if size < self.least * m:
+        no item holds weigh most, so at least `least` of a similar window's shingles are known ones. c: how many are
+        known before each place."""
+        size = min(m, len(c) - 1)
+        if size < self.least * m or c[-1] < self.least * size:
             return np.zeros(0, int), size
-        c = np.concatenate([[0], np.cumsum(hit)])
         return np.flatnonzero(c[size:] - c[:-size] >= np.ceil(self.least * size - 1e-9)), size
 
+    def best(self, item: int, at: np.ndarray, size: int, h: np.ndarray, total: np.ndarray, weights: np.ndarray) -> tuple[float, int]:
+        """The greatest exact similarity (at least `least`) of windows with an item and the first start that has it.
+        Windows go by an upper bound that ignores how often a shingle occurs, until none can be better."""
+        own, mass = self.own[item]
+        lo = int(at[0])
+        part = slice(lo, int(at[-1]) + size)
+        c = np.concatenate([[0.0], np.cumsum(weights[part] * np.isin(h[part], own))])
+        both = np.minimum(c[at - lo + size] - c[at - lo], mass)
+        bound = both / (total[at + size] - total[at] + mass - both)
+        best, start = 0.0, -1
+        for i in np.lexsort((at, -bound)).tolist():
+            if bound[i] < max(best, self.least) - 1e-9:
+                break
+            s = self.index.similarity(item, h[at[i] : at[i] + size].tolist(), self.weight)
+            if s >= self.least and (s > best + 1e-12 or s > best - 1e-12 and at[i] < start):
+                best, start = max(s, best), int(at[i])
+        return best, start
+
     def scan(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item id, first and last byte + 1, similarity): the best window for each text and item."""
         g, first, (starts, ends, wfirst) = item_shingles(data, offs)
@@ -120,29 +163,31 @@ class Scanner:
         v = self.index.vocabulary
         if not len(v) or not len(maybe):
             return
-        maybe = maybe[v[np.minimum(np.searchsorted(v, g[maybe]), len(v) - 1)] == g[maybe]]
-        known = np.zeros(len(g), bool)
-        known[maybe] = True
+        place = np.minimum(np.searchsorted(v, g[maybe]), len(v) - 1)
+        real = v[place] == g[maybe]
+        maybe, place = maybe[real], place[real]
+        known, weights = np.zeros(len(g), bool), np.full(len(g), self.index.top)
+        known[maybe], weights[maybe] = True, self.index.weights[place]
         for doc in np.unique(np.searchsorted(first, maybe, "right") - 1).tolist():
             a, z = first[doc], first[doc + 1]
-            h, hit = g[a:z], known[a:z]
-            best: dict[int, tuple[float, int, int]] = {}
-            for m, table in self.index.classes.items():
-                at, size = self.windows(h, hit, m)
-                for lo in range(0, len(at), 512):
-                    part = at[lo : lo + 512]
-                    w = h[part[:, None] + np.arange(size)]
-                    weights = np.array([self.index.weight.get(x, self.index.scale) for x in w.ravel().tolist()]).reshape(w.shape)
-                    prints = simhash(w, weights)
-                    for i, p in enumerate(prints.tolist()):
-                        found = {c for j, (b, width) in enumerate(self.blocks) for c in table.get((j, (p >> b) & ((1 << width) - 1)), ())}
-                        for c in found:
-                            if (p ^ int(self.index.prints[c])).bit_count() <= RADIUS:
-                                s = self.index.similarity(c, w[i].tolist())
-                                if s >= self.least and s > best.get(c, (0.0, 0, 0))[0]:
-                                    best[c] = (s, int(part[i]), size)
-            for c, (s, at0, size) in sorted(best.items()):
-                yield doc, self.index.ids[c], int(starts[wfirst[doc] + at0]), int(ends[wfirst[doc] + at0 + size + K - 2]), s
+            h, w, c = g[a:z], weights[a:z], np.concatenate([[0], np.cumsum(known[a:z])])
+            found = [(*self.windows(c, m), group) for m, group in self.index.classes.items()]
+            found = [x for x in found if len(x[0])]
+            if not found:
+                continue
+            lo, hi = min(int(x[0][0]) for x in found), max(int(x[0][-1]) + x[1] for x in found)
+            h, w = h[lo:hi], w[lo:hi]
+            sums, total = signed_sums(h, w), np.concatenate([[0.0], np.cumsum(w)])
+            out = []
+            for at, size, group in found:
+                at = at - lo
+                near, items = group.near(simhash(sums[at + size] - sums[at]))
+                for i in np.unique(items).tolist():
+                    s, start = self.best(i, at[near[items == i]], size, h, total, w)
+                    if start >= 0:
+                        out.append((i, s, wfirst[doc] + lo + start, size))
+            for i, s, word, size in sorted(out):
+                yield doc, self.index.ids[i], int(starts[word]), int(ends[word + size + K - 2]), s
 
 
 def _holders(items: DataFrame) -> tuple[dict[int, int], int]:
