@@ -78,3 +78,16 @@ def test_hot_columns(spark, monkeypatch):
     plain = jj._postings
     monkeypatch.setattr(jj, "_postings", lambda k, num, den, heavy, counts, blocks, hot, salts: plain(k, num, den, heavy, counts, blocks, 3, salts))
     test_groups(spark)
+
+
+def test_sql(spark):
+    import duckdb
+
+    from accordis.llm.queries import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op3_ngram_jaccard_join"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["op3_ngram_jaccard_join"](spark, d).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == want and len({r[2] for r in got}) < len(got)
