@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Rows of a batch that Python gets; texts are cut into steps inside a batch.
 BATCH_ROWS = 512
 
@@ -55,9 +55,19 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def lean(table: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A written() table of a few numbers a row: broadcast if its counted rows are few, else left to a shuffle join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def lean(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written() table of at most three numbers a row: broadcast if it is counted to be under 3 MB, else left to a shuffle join."""
+    return F.broadcast(table) if small(table, rows) else table
+
+
+def small(table: DataFrame, rows: int) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
+def one(table: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A written() table of a few numbers a row: if it is counted to be under 2 MB, as one partition, so that what
+    follows needs no exchange of hundreds of empty parts; else as it is."""
+    return table.coalesce(1) if small(table, rows) else table
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -79,19 +89,22 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """
     e = written(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), tag)
     while True:
+        tiny = small(e, 50_000)
+        few = e.coalesce(1) if tiny else e
+        merged = (lambda x, y: x.unionByName(y).coalesce(1)) if tiny else (lambda x, y: x.unionByName(y))
         # Done when every node has one parent and no parent has one.
-        twice = e.groupBy("a").count().where("count > 1").select("a").limit(1)
-        chain = e.join(e.selectExpr("a as b"), "b", "left_semi").select("a").limit(1)
+        twice = few.groupBy("a").count().where("count > 1").select("a").limit(1)
+        chain = few.join(few.selectExpr("a as b"), "b", "left_semi").select("a").limit(1)
         if not twice.unionByName(chain).head(1):
             return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
         # Large star: link larger neighbours to the smallest neighbour.
-        both = e.unionByName(e.selectExpr("b as a", "a as b"))
+        both = merged(few, few.selectExpr("b as a", "a as b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").selectExpr("b as a", "m as b").distinct()
         # Small star: link smaller neighbours, and the node itself, to the smallest.
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").where("b <> m").selectExpr("b as a", "m as b").unionByName(low2.selectExpr("a", "m as b")).distinct()
-        old, e = e, written(small, tag)
+        stars = merged(large.join(low2, "a").where("b <> m").selectExpr("b as a", "m as b"), low2.selectExpr("a", "m as b")).distinct()
+        old, e = e, written(stars, tag)
         dropped(old)
 
 
@@ -184,7 +197,7 @@ def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Boun
     roots: DataFrame | None = None
 
     def apart(p: DataFrame) -> DataFrame:
-        q = p.join(roots.selectExpr("node as a", "root as ra"), "a", "left").join(roots.selectExpr("node as b", "root as rb"), "b", "left")
+        q = p.join(lean(roots).selectExpr("node as a", "root as ra"), "a", "left").join(lean(roots).selectExpr("node as b", "root as rb"), "b", "left")
         return q.where("coalesce(ra, a) <> coalesce(rb, b)").select(*p.columns)
 
     def join_in(links: DataFrame) -> None:
@@ -198,18 +211,19 @@ def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Boun
         return map_arrow(q, _screened(bound), "a long, b long, d long")
 
     def test(near: DataFrame) -> None:
-        near = written(near.distinct(), "near")
+        near = one(written(near, "near"))
+        near = near.groupBy("a", "b").agg(F.min("d").alias("d"))
         first = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "first")
         if roots is not None and not first.head(1):
             return
         join_in(verify(first))
-        rest = written(apart(near.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
+        rest = written(apart(near.select("a", "b").join(lean(first), ["a", "b"], "left_anti")), "rest")
         if rest.head(1):
             join_in(verify(rest))
-        dropped(near, first, rest)
+        dropped(first, rest)
 
     def split(of: DataFrame) -> DataFrame:
-        now = of.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+        now = of.join(lean(roots), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
         open_ = now.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("list", "c")
         return written(now.join(open_, "list"), "members")
 
