@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.shared import dropped, lean, map_arrow, resolve, written
+from accordis.llm.shared import dropped, lean, map_arrow, one, resolve, small, written
 
 U = np.uint64
 K = 5
@@ -30,6 +30,8 @@ MASK = U((1 << TOKEN_BITS) - 1)
 SKETCH = 2048
 SMALL_LIST = 6
 ENTRIES = 400_000  # postings of a block, on average
+MOST_BLOCKS = 1 << 18
+HELD = 16  # postings of a task for each block at least before it sends them: rows of many postings at any size
 HOT = 20_000  # sets that hold a column from which on it is dealt by row
 
 
@@ -108,7 +110,7 @@ def _counted(k: int, low: int, ranges: int):
                 t = key[np.repeat(np.array(fresh, bool), np.diff(first))] & MASK
                 held.append(t[t < U(low)])
                 size += len(data)
-                if size > 16 << 20:
+                if size > max(8 << 20, 256 * ranges):
                     yield from flush()
                     size = 0
         yield from flush()
@@ -132,16 +134,23 @@ def _frequent(least: int):
 
 
 def frequent_tokens(texts: DataFrame, k: int, shingles: int, share: float, most: int = 1_000_000, least: int = SMALL_LIST + 1) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` tokens (8 MB of a broadcast) that the most sets hold, of at least `least` sets, and their counts.
+    """At most `most` tokens (8 MB of a broadcast) that the most sets hold, of at least `least` sets, and their counts.
 
     Only tokens of the low `share` of the hash order are counted: prefixes are taken from there. The order that
     follows is exact for any choice; counting keeps what many documents share out of the prefixes."""
     low = int(share * (1 << TOKEN_BITS))
-    ranges = max(1, int(shingles * share) // (2 * ENTRIES))
+    ranges = min(MOST_BLOCKS, max(1, int(shingles * share) // (2 * ENTRIES)))
     t = map_arrow(texts, _counted(k, low, ranges), "range int, tokens binary").groupBy("range").applyInArrow(_frequent(least), "token long, c long")
     t = written(t, "frequent")
     if t.count() > most:
-        t = t.orderBy(F.desc("c"), "token").limit(most)
+        # The counts' histogram (a few hundred steps) says from where on; a top-k would bring every task's own to the driver.
+        step = F.floor(F.log2("c") * 8)
+        left, cut = most, 1 << 30
+        for r in sorted(t.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+            if r["count"] > left:
+                break
+            left, cut = left - r["count"], r["s"]
+        t = t.where(step >= cut)
     p = t.toPandas().sort_values("token")
     return p["token"].to_numpy(np.int64).view(U), p["c"].to_numpy(np.int64)
 
@@ -207,7 +216,7 @@ def _postings(k: int, num: int, den: int, heavy: np.ndarray, counts: np.ndarray,
                     block[h] = blocks + ((s[h].view(U) >> U(20)) % U(salts)).astype(np.int32)
                 held.append((block, t.astype(np.uint32), s))
                 size += len(t)
-                if size > 4 * ENTRIES:
+                if size > max(2 * ENTRIES, HELD * blocks):
                     yield from flush()
                     size = 0
         yield from flush()
@@ -305,14 +314,17 @@ class _Verifier:
         self.sets: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
+        few = small(pairs, 50_000)
+        pairs = one(pairs)
         need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("sid"), "sid", "left_anti")
-        need = written(need.join(self.reps.select("sid", "th"), "sid").select("th"), "need")
+        need = F.broadcast(need) if few else need  # at most two rows a pair
+        need = written(self.reps.select("sid", "th").join(need, "sid", "left_semi").select("th"), "need")
         found = map_arrow(self.docs.join(lean(need), "th", "left_semi").select("text"), _pack_sets(self.k), "sid long, tokens binary").dropDuplicates(["sid"])
         found = written(found, "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
-        p = lean(pairs).join(self.sets.selectExpr("sid as b", "tokens as y"), "b").join(self.sets.selectExpr("sid as a", "tokens as x"), "a")
+        p = (F.broadcast(pairs) if few else pairs).join(self.sets.selectExpr("sid as b", "tokens as y"), "b").join(self.sets.selectExpr("sid as a", "tokens as x"), "a")
         out = written(map_arrow(p, _overlaps(self.num, self.den), "a long, b long"), "links")
         dropped(need)
         return out
@@ -328,7 +340,7 @@ def classes(docs: DataFrame, k: int = K, num: int = 80, den: int = 100) -> DataF
         return slim.withColumn("root", F.col("sid"))
     # A tenth more than a prefix, so that what replaces frequent tokens in it is counted too.
     heavy, counts = frequent_tokens(base.select("text"), k, int(total[1]), min(1.0, (den - num) / den + 0.1))
-    blocks = max(8, int(total[1]) * (den - num) // den // ENTRIES)
+    blocks = min(MOST_BLOCKS, max(8, int(total[1]) * (den - num) // den // ENTRIES))
     packed = map_arrow(base.select("text"), _postings(k, num, den, heavy, counts, blocks, HOT, max(8, blocks // 2)), "block int, tokens binary, sids binary")
     lists = written(packed.groupBy("block").applyInArrow(_lists(blocks), "list long, a long, b long"), "lists")
     reps = written(prof.where("n > 0").groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps")

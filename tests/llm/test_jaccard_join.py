@@ -91,3 +91,18 @@ def test_sql(spark):
     want = sorted(con.execute(ORACLE_SQL["op3_ngram_jaccard_join"]).fetchall())
     got = sorted(tuple(r) for r in QUERIES["op3_ngram_jaccard_join"](spark, d).select("doc_id", "n_shingles", "component_id").collect())
     assert got == want and len({r[2] for r in got}) < len(got)
+
+
+def test_most_frequent(spark, monkeypatch):
+    """With room for a few frequent tokens only, the order differs and the results do not."""
+    plain = jj.frequent_tokens
+    sizes = []
+
+    def few(*args):
+        out = plain(*args, most=40, least=3)
+        sizes.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(jj, "frequent_tokens", few)
+    test_groups(spark)
+    assert 0 <= sizes[0] <= 40
