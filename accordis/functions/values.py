@@ -41,18 +41,19 @@ def normalize_phone(x: Column, region: Column | None = None) -> Column:
     """struct(phone, confidence): E.164 for numbers of the known regions, with their code or in the hinted region
     (default US); others stay as they are with little confidence."""
     hint = F.coalesce(region, F.lit("US")) if region is not None else F.lit("US")
-    digits = F.regexp_replace(x, r"\D", "")
-    plus = F.regexp_like(F.trim(x), F.lit(r"^(\+|00)"))
-    bare = F.when(F.regexp_like(F.trim(x), F.lit("^00")), F.substring(digits, 3, 100)).otherwise(digits)
-    abroad, home = F, F
-    for name, (code, low, high, start) in ref.PHONE_REGIONS.items():
-        national = F.regexp_like(F.substring(bare, len(code) + 1, 100), F.lit(f"^(?={start})[0-9]{{{low},{high}}}$"))
-        abroad = abroad.when(plus & bare.startswith(code) & national, F.concat(F.lit("+"), bare))
-        own = F.regexp_replace(digits, "^0", "") if name not in ("IT",) else digits
-        own = F.when((F.length(digits) == len(code) + high) & digits.startswith(code), F.substring(digits, len(code) + 1, 100)).otherwise(own)
-        home = home.when((hint == name) & ~plus & F.regexp_like(own, F.lit(f"^(?={start})[0-9]{{{low},{high}}}$")), F.concat(F.lit(f"+{code}"), own))
-    odd = F.regexp_like(x, F.lit(r"[^0-9\s()+./\-]"))
-    found = F.when(~odd, F.coalesce(abroad.otherwise(F.lit(None)), home.otherwise(F.lit(None))))
+    t, digits = F.trim(x), F.regexp_replace(x, r"\D", "")
+    bare = F.when(t.startswith("00"), F.substring(digits, 3, 100)).otherwise(digits)
+    # The regions are one constant array that a lambda searches, so that the expression stays small.
+    regions = F.array(*[F.struct(*map(F.lit, (n, *v))) for n, v in ref.PHONE_REGIONS.items()])
+    fits = lambda national, r: F.length(national).between(r["col3"], r["col4"]) & F.regexp_like(national, F.concat(F.lit("^"), r["col5"]))
+
+    def national(r: Column) -> Column:
+        coded = (F.length(digits) == F.length(r["col2"]) + r["col4"]) & digits.startswith(r["col2"])
+        return F.when(coded, F.substr(digits, F.length(r["col2"]) + 1)).when(r["col1"] == "IT", digits).otherwise(F.regexp_replace(digits, "^0", ""))
+
+    abroad = F.exists(regions, lambda r: bare.startswith(r["col2"]) & fits(F.substr(bare, F.length(r["col2"]) + 1), r))
+    home = F.get(F.transform(F.filter(regions, lambda r: (r["col1"] == hint) & fits(national(r), r)), lambda r: F.concat(F.lit("+"), r["col2"], national(r))), F.lit(0))
+    found = F.when(F.regexp_like(x, F.lit(r"[^0-9\s()+./\-]")), F.lit(None)).when(F.regexp_like(t, F.lit(r"^(\+|00)")), F.when(abroad, F.concat(F.lit("+"), bare))).otherwise(home)
     return F.struct(F.coalesce(found, x).alias("phone"), F.when(found.isNotNull(), F.lit(1.0)).otherwise(ref.INVALID_CONFIDENCE).alias("confidence"))
 
 
