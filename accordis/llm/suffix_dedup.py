@@ -63,7 +63,8 @@ def _cut(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     right = byte[0][np.where(right < first[doc_at + 1][:, None], right, none)]
     left = word[:, None] - 1 - np.arange(REACH)
     left = byte[1][np.where(left >= first[doc_at][:, None], left, none)]
-    return {"doc": doc_at, "key": g[at], "right": right, "left": left, "pos": pos.astype(np.uint32)}
+    # Least hashes are small; mixed again they spread over the ranges.
+    return {"doc": doc_at, "key": tx.mix(g[at] + tx.LANE[13]), "right": right, "left": left, "pos": pos.astype(np.uint32)}
 
 
 def _letter(p: dict[str, np.ndarray], ids: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:

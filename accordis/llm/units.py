@@ -21,6 +21,8 @@ from accordis.llm.shared import map_arrow, written
 U = np.uint64
 UNIT_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20  # text for each range of keys
+MOST_RANGES = 1 << 18
+RANGE_SHARE = 256  # bytes of a unit's text for each range at least: with many ranges units grow, so that letters do not become rows of a key or two
 SCHEMA = "unit long, range int, body binary, docs binary"
 LOW = -(1 << 63)
 
@@ -65,7 +67,8 @@ def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.
     the same if a task is; equal units (repeated rows) share one name and one answer."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
-    ranges = max(1, size // RANGE_BYTES)
+    ranges = min(MOST_RANGES, max(1, size // RANGE_BYTES))
+    most = max(UNIT_BYTES, RANGE_SHARE * ranges)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
@@ -89,7 +92,7 @@ def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.
                 held.hashes.append(b.column(1).slice(lo, hi - lo).to_numpy())
                 held.parts.append(places)
                 held.docs, held.size = held.docs + hi - lo, held.size + len(data)
-                if held.size >= UNIT_BYTES or held.docs >= 30_000:
+                if held.size >= most or held.docs >= 60_000:
                     yield from flush()
         yield from flush()
 
