@@ -152,7 +152,7 @@ def _assemble(least_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, least_words: int = 30) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, least_words: int = 25) -> DataFrame:
     """doc_id, th (hash of the text), start, end (code points), words, first_doc_id and duplicate of repeated passages.
 
     A passage is a run of chunks that each occur elsewhere (in any document, or again in this one), of at least
