@@ -115,9 +115,12 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, sample: int, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features of at most `sample` labelled rows, chosen by a seeded hash; the bound is on what is learnt from only."""
+    """Features of about `sample` labelled rows at most: if there are more, those whose seeded hash is below the share
+    that is wanted, so that no partition sends more than its part. The bound is on what is learnt from only."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    t = stats.join(lab, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), *FEATURES).limit(sample).select("quality", *FEATURES).toPandas()
+    share = min(1.0, sample / max(1, lab.count()))
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    t = stats.join(lab.where(place < int(share * (1 << 30))), "doc_id").select(place.alias("place"), "quality", *FEATURES).toPandas().sort_values(["place", *FEATURES])
     return {f: t[f].to_numpy(float) for f in FEATURES}, t["quality"].to_numpy() == 0
 
 
@@ -126,7 +129,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, p
 
     docs: doc_id, text (others ignored). labels: doc_id, quality (0 rejects; repeated ids count once, with the
     greatest value). One pass over the texts; the thin statistics are written to the shared folder. Learning sees
-    at most `sample` labelled rows on the driver. Null or empty text: counts 0, base_failed. No labels, or labels
+    about `sample` labelled rows at most on the driver. Null or empty text: counts 0, base_failed. No labels, or labels
     of one class: the base alone decides. Repeated rows give repeated results.
     """
     stats = written(with_stats(docs), "rules")
