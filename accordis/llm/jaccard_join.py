@@ -358,7 +358,8 @@ def jaccard_join(docs: DataFrame, *, k: int = K, num: int = 80, den: int = 100)
     in its class but never names a component (it is null if all are). Empty table: no rows.
     """
     out = classes(docs, k, num, den)
-    names = out.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = written(out, "classes")
+    names = written(out.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     named = out.join(names, "root", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -368,7 +369,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     hash of the text; repeated rows of it are one. Documents without words all stay, repeated rows too."""
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     rows = written(classes(docs, **options).where("n > 0").groupBy("root", "doc_id", "th").agg(F.count("*").alias("c")), "rows")
-    keep = rows.groupBy("root").agg(F.min(key).alias("k"))
+    keep = written(rows.groupBy("root").agg(F.min(key).alias("k")), "keep")
     marked = rows.join(keep, "root").select("doc_id", "th", "c", (F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.th") == F.col("th"))).alias("kept"))
     marked = written(marked.where("not kept or c > 1"), "marked")
     out = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col("text").cast("string"))})

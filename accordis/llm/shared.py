@@ -225,10 +225,12 @@ def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Boun
     def split(of: DataFrame) -> DataFrame:
         now = of.join(lean(roots), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
         open_ = now.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("list", "c")
+        # Written first, so that both sides of the join are plain exchanges, of which Spark splits a hot list's part.
+        open_ = written(open_, "open")
         return written(now.join(open_, "list"), "members")
 
     members = written(lists.select("list", "node").distinct(), "members")
-    lead = members.groupBy("list").agg(F.min("node").alias("lead"))
+    lead = written(members.groupBy("list").agg(F.min("node").alias("lead")), "leads")
     test(screen(pairs.select("a", "b").unionByName(members.join(lead, "list").where("node <> lead").selectExpr("lead as a", "node as b"))))
     left = members.join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
     while True:
