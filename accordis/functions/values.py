@@ -66,13 +66,16 @@ def normalize_date(x: Column) -> Column:
         return F.when(year.between(1900, 2100) & m.between(1, 12), F.format_string("%04d-%02d", year, m))
 
     ym, my, iso, y = r"^(\d{4})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{4})$", r"^(\d{4})-(\d{2})-\d{2}$", r"^(\d{4})$"
-    tidy = F.regexp_replace(F.regexp_replace(F.initcap(F.regexp_replace(t, r"[.,]", " ")), r"\s+", " "), r"\bSept\b", "Sep")
-    words = [F.try_to_date(F.trim(tidy), f) for f in ("MMM yyyy", "MMMM yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy MMM", "yyyy MMMM")]
-    slashed = [F.try_to_date(t, f) for f in ("M/d/yyyy", "yyyy/M/d", "yyyy.M.d")]
+    # Month names by a constant map and patterns: parsing by formats costs an exception for each that does not fit.
+    names = {n[:k].lower(): i + 1 for i, n in enumerate(ref.MONTHS) for k in (3, len(n))} | {"sept": 9}
+    numbers = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    named = lambda name: F.element_at(numbers, F.lower(name))
+    worded, reversed_ = r"^(?:\d{1,2}\s+)?([A-Za-z]{3,9})[.,]?\s+(?:\d{1,2},?\s+)?(\d{4})$", r"^(\d{4})\s+([A-Za-z]{3,9})$"
+    mdy, ymd = r"^(\d{1,2})/(?:[1-9]|0[1-9]|[12]\d|3[01])/(\d{4})$", r"^(\d{4})[/.](\d{1,2})[/.](?:[1-9]|0[1-9]|[12]\d|3[01])$"
     found = F.coalesce(
         F.when(F.lower(t).isin(ref.PRESENT), F.lit("Present")),
         month(part(ym, 1), part(ym, 2)), month(part(my, 2), part(my, 1)), month(part(iso, 1), part(iso, 2)), month(part(y, 1), F.lit(1)),
-        *[F.date_format(d, "yyyy-MM") for d in words + slashed],
+        month(part(worded, 2), named(F.regexp_extract(t, worded, 1))), month(part(reversed_, 1), named(F.regexp_extract(t, reversed_, 2))), month(part(mdy, 2), part(mdy, 1)), month(part(ymd, 1), part(ymd, 2)),
     )
     blank = t.isNull() | (t == "")
     return F.struct(F.when(blank, x).otherwise(F.coalesce(found, x)).alias("date"), (found.isNotNull() & ~blank).alias("valid"))
