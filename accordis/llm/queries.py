@@ -50,7 +50,7 @@ def op9_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return line_dedup.report(_t(spark, d, "documents"))
+    return line_dedup.report(_t(spark, d, "documents"), **line_dedup.WHOLE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_ngram_jaccard_join, op4_mixing, op5_secret_scans, op6_sharding, op7_substring_dedup, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_line_dedup)}
