@@ -76,22 +76,28 @@ def _letter(p: dict[str, np.ndarray], ids: np.ndarray, ranges: int) -> Iterator[
     name = (p["key"] & ~U(0xFFFFFFFF)) | (name >> U(32))  # by minimiser, so that ranges are slices
     _, at, inverse, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
     p["index"] = inverse.astype(np.uint32)
-    by = np.argsort(ids, kind="stable")
-    rank = np.argsort(by, kind="stable")
-    low = np.full(len(at), len(ids))
-    np.minimum.at(low, inverse, rank[p["doc"]])
-    owner = by[low] if len(at) else low
+    # The first place of each: by id, hash of the text and word. Repeated rows share their places.
+    hashes = p["hashes"]
+    by = np.lexsort((hashes, ids))
+    new = (ids[by[1:]] != ids[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]])
+    rank = np.zeros(len(ids), np.int64)
+    rank[by[1:]] = np.cumsum(new)
+    place = (rank[p["doc"]] << 32) + p["pos"]
+    low = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(low, inverse, place)
+    p["lead"] = place == low[inverse]
+    owner = by[np.searchsorted(rank[by], low >> 32)]
     key = p["key"][at]
     edges = np.searchsorted(key >> U(32), np.array([(1 << 32) * r // ranges for r in range(ranges)], U))
     for r, (a, z) in enumerate(zip(edges, [*edges[1:], len(key)], strict=True)):
         if z > a:
             who, where = np.unique(owner[a:z], return_inverse=True)
-            yield r, pack(key=key[a:z], right=p["right"][at[a:z]], left=p["left"][at[a:z]], twice=count[a:z] > 1, at=where.astype(np.uint16)), pack(ids=ids[who])
+            yield r, pack(key=key[a:z], right=p["right"][at[a:z]], left=p["left"][at[a:z]], twice=count[a:z] > 1, at=where.astype(np.uint16), pos=(low[a:z] & 0xFFFFFFFF).astype(np.uint32)), pack(ids=ids[who], hashes=hashes[who])
 
 
 def _payload(p: dict[str, np.ndarray]) -> bytes:
     n = np.bincount(p["doc"]) if len(p["doc"]) else np.zeros(0, np.int64)
-    return pack(n=n.astype(np.int32), index=p["index"], pos=p["pos"])
+    return pack(n=n.astype(np.int32), index=p["index"], pos=p["pos"], lead=p["lead"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,14 +106,39 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
+def _earlier(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each item of a sorted row, the nearest one before it with the same key and a smaller rank, or -1."""
+    out = np.full(len(key), -1)
+    same = key[1:] == key[:-1]
+    at = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    stack: list[tuple[int, int]] = []
+    last, found = None, []
+    for i, k, r in zip(at.tolist(), key[at].tolist(), rank[at].tolist(), strict=True):
+        if k != last:
+            stack, last = [], k
+        while stack and stack[-1][1] >= r:
+            stack.pop()
+        found.append(stack[-1][0] if stack else -1)
+        stack.append((i, r))
+    out[at] = found
+    return out
+
+
 def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
     """Sorts the suffixes of a range by what follows, and again by what precedes; neighbours with the same minimiser
-    are extended to both sides, and each suffix keeps its longest match. Chains of matches share their smallest id."""
-    parts = [unpack(b, "<u8", "u1", "u1", "?", "<u2") for b in bodies]
+    are extended to both sides, and each suffix keeps its longest match. Chains of matches share their smallest id.
+    The words around a suffix that go are those of its matches with earlier places: of these, the nearest neighbour in
+    either order to either side reaches farthest."""
+    parts = [unpack(b, "<u8", "u1", "u1", "?", "<u2", "<u4") for b in bodies]
     key, twice = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts])
     right, left = (np.concatenate([p[i].reshape(-1, REACH) for p in parts]) for i in (1, 2))
-    owner = np.concatenate([unpack(d, "<i8")[0][p[4]] for d, p in zip(docs, parts, strict=True)])
+    owner, hashes = (np.concatenate([unpack(d, "<i8", "<i8")[i][p[4]] for d, p in zip(docs, parts, strict=True)]) for i in (0, 1))
+    pos = np.concatenate([p[5] for p in parts])
     n = len(key)
+    by = np.lexsort((pos, hashes, owner))
+    rank = np.zeros(n, np.int64)
+    rank[by[1:]] = np.cumsum((owner[by[1:]] != owner[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]]) | (pos[by[1:]] != pos[by[:-1]]))
+    cut_l, cut_r = np.full(n, -1), np.full(n, -1)
     best_l, best_r, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     whole_l, whole_r = (_common(x, x) for x in (left, right))
     best_l[twice], best_r[twice] = whole_l[twice], whole_r[twice]
@@ -124,6 +155,12 @@ def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
         for i in (a, b):
             more = total > best[i]
             best[i[more]], best_l[i[more]], best_r[i[more]] = total[more], l[more], r[more]
+        for turned in (order, order[::-1]):
+            to = _earlier(key[turned], rank[turned])
+            i, j = turned[to >= 0], turned[to[to >= 0]]
+            l, r = _common(left[i], left[j]), _common(right[i], right[j])
+            ok = K + l + r >= SEED
+            cut_l[i[ok]], cut_r[i[ok]] = np.maximum(cut_l[i[ok]], l[ok]), np.maximum(cut_r[i[ok]], r[ok])
         # Chains of sorted neighbours that match: their smallest id.
         link = np.zeros(n, bool)
         link[np.flatnonzero(same)[total >= SEED] + 1] = True
@@ -131,11 +168,17 @@ def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
         low = np.minimum.reduceat(first[order], begin) if n else first
         first[order] = np.repeat(low, np.diff(np.concatenate([begin, [n]])))
     best_l[best < SEED] = best_r[best < SEED] = 255
+    more = cut_l >= 0
+    best_l[more], best_r[more] = (np.where(x[more] == 255, c[more], np.maximum(x[more], c[more])) for x, c in ((best_l, cut_l), (best_r, cut_r)))
+    byte = lambda x: np.where(x < 0, 255, x).astype(np.uint8)
+    # Later places of a suffix in its unit lose all that it matches itself in.
+    again = twice & (K + whole_l + whole_r >= SEED)
+    whole_l, whole_r = np.where(again, whole_l, -1), np.where(again, whole_r, -1)
     out, at = [], 0
     for p in parts:
         s = slice(at, at + len(p[0]))
         hit = best_l[s] < 255
-        out.append(pack(left=best_l[s].astype(np.uint8), right=best_r[s].astype(np.uint8), first=first[s][hit]))
+        out.append(pack(left=best_l[s].astype(np.uint8), right=best_r[s].astype(np.uint8), first=first[s][hit], cuts=np.column_stack([byte(x[s]) for x in (cut_l, cut_r, whole_l, whole_r)])))
         at += len(p[0])
     return out
 
@@ -143,40 +186,59 @@ def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
 KINDS = ["doc_id", "th", "start_word", "end_word", "words", "first_doc_id"]
 
 
+def _merged(start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of ranges that overlap or touch, rising, and the least of `first` in each."""
+    if not len(start):
+        return start, end, first
+    order = np.argsort(start, kind="stable")
+    start, end, first = start[order], end[order], first[order]
+    far = np.maximum.accumulate(end)
+    b = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]]))
+    return start[b], far[np.concatenate([b[1:], [len(start)]]) - 1], np.minimum.reduceat(first, b)
+
+
 def _assemble(least_words: int):
     def run(body: bytes, who: bytes, answers: dict[int, bytes]) -> pa.Table:
-        n, index, pos = unpack(body, "<i4", "<u4", "<u4")
+        n, index, pos, lead = unpack(body, "<i4", "<u4", "<u4", "?")
         ids, hashes = unpack(who, "<i8", "<i8")
         empty = pa.table({**{k: pa.array([], pa.int64()) for k in KINDS}, "duplicate": pa.array([], pa.bool_())})
         if not len(index):
             return empty
-        left, right, first = [], [], []
+        left, right, first, cuts = [], [], [], []
         for r in sorted(answers):
-            l, x, own = unpack(answers[r], "u1", "u1", "<i8")
+            l, x, own, c = unpack(answers[r], "u1", "u1", "<i8", "u1")
             f = np.zeros(len(l), np.int64)
             f[l < 255] = own
             left.append(l)
             right.append(x)
             first.append(f)
-        left, right, first = (np.concatenate(x)[index] for x in (left, right, first))
-        doc = np.repeat(np.arange(len(n)), n)
+            cuts.append(c.reshape(-1, 4))
+        left, right, first, cuts = (np.concatenate(x)[index] for x in (left, right, first, cuts))
+        cut_l, cut_r = (np.where(lead, cuts[:, i], cuts[:, i + 2]).astype(np.int64) for i in (0, 1))
+        wide = np.repeat(np.arange(len(n)), n) << 40
+        wide += pos
         hit = left < 255
-        doc, first, start, end = doc[hit], first[hit], (pos[hit] - left[hit]).astype(np.int64), pos[hit].astype(np.int64) + K + right[hit]
-        if not len(doc):
+        if not hit.any():
             return empty
-        order = np.lexsort((start, doc))
-        doc, first, start, end = doc[order], first[order], start[order], end[order]
-        wide = doc * (1 << 40)
-        far = np.maximum.accumulate(end + wide)
-        new = np.concatenate([[True], start[1:] + wide[1:] > far[:-1]])
-        b = np.flatnonzero(new)
-        e = np.concatenate([b[1:], [len(doc)]]) - 1
-        start, end, low = start[b], far[e] - wide[b], np.minimum.reduceat(first, b)
-        d = doc[b]
-        keep = end - start >= least_words
-        start, end, low, d = start[keep], end[keep], low[keep], d[keep]
+        b, e, _ = _merged((wide - left)[hit], (wide + K + right)[hit], first[hit])
+        keep = e - b >= least_words
+        b, e = b[keep], e[keep]
+        goes = (cut_l < 255) & hit
+        x, z, low = _merged((wide - cut_l)[goes], (wide + K + cut_r)[goes], first[goes])
+        # A row for each stretch of a passage that goes or stays.
+        edge = np.unique(np.concatenate([b, e, x, z]))
+        start, end = edge[:-1], edge[1:]
+        inside = lambda lo, hi: np.searchsorted(lo, start, "right") > np.searchsorted(hi, start, "right")
+        keep = inside(b, e)
+        dup = inside(x, z)[keep]
+        start, end = start[keep], end[keep]
+        d = start >> 40
+        own = ids[d]
+        if dup.any():
+            own[dup] = low[np.searchsorted(x, start[dup], "right") - 1]
+        low, start, end = own, start & ((1 << 40) - 1), end - (d << 40)
         nulls = lambda x: pa.array(x, pa.int64(), mask=x == LOW)
-        return pa.table({"doc_id": nulls(ids[d]), "th": pa.array(hashes[d]), "start_word": pa.array(start), "end_word": pa.array(end), "words": pa.array(end - start), "first_doc_id": nulls(low), "duplicate": pa.array(low != ids[d])})
+        return pa.table({"doc_id": nulls(ids[d]), "th": pa.array(hashes[d]), "start_word": pa.array(start), "end_word": pa.array(end), "words": pa.array(end - start), "first_doc_id": nulls(low), "duplicate": pa.array(dup)})
 
     return run
 
@@ -188,10 +250,11 @@ def repeated_spans(docs: DataFrame, *, least_words: int = 30) -> DataFrame:
     Words are split at ASCII white space, A-Z lower-cased. Any two places with WINDOW + K - 1 = 37 equal words share a
     minimiser. A suffix at a minimiser is compared with its neighbours in the order of what follows and of what
     precedes (hashes of REACH words to each side, which may leave out a span's first and last word), matches of SEED words count, and matches of neighbouring suffixes
-    of a document are joined to one span. first_doc_id is the smallest id that holds part of the span; duplicate is
-    false in that document. A null doc_id is smaller than all and shown as null. Null, empty and short texts have no
-    spans. Repeated rows (equal doc_id and text) are found like other copies but share one owner: none of them is a
-    duplicate of another.
+    of a document are joined to one passage, with a row for each stretch of it that goes or stays: duplicate is true
+    for words that match an earlier place (by doc_id, hash of the text, then word; in another document or in this one)
+    and false where this place is the first. first_doc_id of a duplicate is the smallest id that its chains of matches
+    hold, else its own. A null doc_id is smaller than all and shown as null. Null, empty and short texts have no
+    spans. Repeated rows (equal doc_id and text) are one document here: they get the same rows.
     """
     letters, _ = sent(docs, _cut, _letter, _payload, "suffixes")
     schema = ", ".join(f"{k} long" for k in KINDS) + ", duplicate boolean"

@@ -63,7 +63,7 @@ Cut = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.ndarray, int], Iterator[tuple[int, bytes, bytes]]], payload: Callable[[dict[str, np.ndarray]], bytes], tag: str) -> tuple[DataFrame, int]:
     """Writes the letters of all units to all ranges, and each unit's payload (range -1).
 
-    letter(places, ids, ranges) yields (range, body, docs). A unit's name is a hash of its texts and ids, made again
+    letter(places, ids, ranges) yields (range, body, docs); places has the texts' "hashes" too. A unit's name is a hash of its texts and ids, made again
     the same if a task is; equal units (repeated rows) share one name and one answer."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
@@ -79,6 +79,7 @@ def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.
                 ids, hashes = np.concatenate(held.ids), np.concatenate(held.hashes)
                 places = {k: np.concatenate([p[k] for p in held.parts]) for k in held.parts[0]}
                 name = int((tx.mix(ids.view(U) * tx.LANE[1] + hashes.view(U)) * (np.arange(len(ids), dtype=U) * U(2) + U(1))).sum().view(np.int64))
+                places["hashes"] = hashes
                 rows = [(r, body, who) for r, body, who in letter(places, ids, ranges)]
                 rows.append((-1, payload(places), pack(ids=ids, hashes=hashes)))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["unit", "range", "body", "docs"])

@@ -138,3 +138,15 @@ def test_documents(spark):
     for module in (sub, suf):
         found = {r.doc_id for r in module.repeated_spans(d).collect()}
         assert len(sure - found) <= 0.02 * len(sure) and not found - maybe, (module.__name__, len(sure), len(sure - found), found - maybe)
+
+
+def kept(spark, docs):
+    return {r.doc_id: r.text.split() for r in suf.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_overlapping_excerpts(spark):
+    """Each word of overlapping excerpts survives once, but for a few words at the edges of matches."""
+    w = words(random.Random(31), 200)
+    docs = [(1, w[:60]), (2, w), (3, w[50:])]
+    out = kept(spark, [(i, " ".join(x)) for i, x in docs])
+    assert out[1] == w[:60] and out[2][-135:] == w[-135:] and len(out[2]) <= 145 and len(out[3]) <= 5
