@@ -150,3 +150,11 @@ def test_overlapping_excerpts(spark):
     docs = [(1, w[:60]), (2, w), (3, w[50:])]
     out = kept(spark, [(i, " ".join(x)) for i, x in docs])
     assert out[1] == w[:60] and out[2][-135:] == w[-135:] and len(out[2]) <= 145 and len(out[3]) <= 5
+
+
+def test_repeated_inside(spark):
+    """Of a passage that one document repeats, the first place stays."""
+    rng = random.Random(32)
+    p, between = words(rng, 60), [words(rng, 40) for _ in range(8)]
+    out = kept(spark, [(1, " ".join(" ".join([*p, *x]) for x in between)), (2, "no repeats here")])
+    assert out[1][:60] == p and set(sum(between, [])) <= set(out[1]) and 380 <= len(out[1]) <= 60 + 320 + 7 * 4
