@@ -100,7 +100,8 @@ class Index:
                 if first[i + 1] > first[i]:
                     ids.append(items[lo + i][0])
                     rows.append(g[first[i] : first[i + 1]])
-        vocab = np.unique(np.concatenate([*rows, np.zeros(0, U)]).astype(U))
+        # With the shingles that items of other parts share, which weigh less than unknown ones in a window too.
+        vocab = np.unique(np.concatenate([*rows, np.array(list(holders), U)]).astype(U))
         total = max(total, 1)
         weights = np.array([log(1 + total / max(1, holders.get(h, 1))) for h in vocab.tolist()])
         prints, sizes = np.zeros(len(ids), U), {}
@@ -206,11 +207,11 @@ def _holders(items: DataFrame) -> tuple[dict[int, int], int]:
 
 def indexes(benchmark: DataFrame) -> list[Index]:
     """The benchmark in parts of about ITEM_BYTES of text, by item id: each is small enough to send to every task, and
-    a larger benchmark takes more passes over the documents."""
+    a larger benchmark takes more passes over the documents. Each part has the counts of all shared shingles."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // ITEM_BYTES))
-    holders, total = _holders(items) if n == 1 else ({}, items.count())  # rarity needs the shared shingles on the driver; without, all weigh alike
+    holders, total = _holders(items)  # of the whole benchmark: weights don't depend on the parts
     out = []
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()

@@ -81,3 +81,17 @@ def test_parts(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(dc, "ITEM_BYTES", 1000)
     assert sorted((r.doc_id, r.item_id) for r in dc.contaminated(d, b).collect()) == [(i, i) for i in range(30)]
+
+
+def test_parts_share_shingles(spark, monkeypatch):
+    """Forced parts weigh shingles as one part does, those of other parts' items included."""
+    common, other = ([f"{x}{j}" for j in range(24)] for x in "ab")
+    items = [(i, " ".join([*common, *(f"w{i}x{j}" for j in range(30))])) for i in range(12)] + [(50 + i, " ".join([*other, f"v{i}"])) for i in range(12)]
+    docs = []
+    for i in range(12):
+        rare = [f"w{i}x{j}" for j in range(30)]
+        docs += [(i, " ".join([*common[:12], "gap", *common[13:], *rare])), (20 + i, " ".join([*other[:8], *common[8:], *rare])), (40 + i, " ".join([*common, *rare[:25], "x", *rare[26:]]))]
+    want = check(spark, docs, items)
+    assert {(i, i) for i in range(12)} | {(20 + i, i) for i in range(12)} <= want.keys()
+    monkeypatch.setattr(dc, "ITEM_BYTES", 1000)
+    assert check(spark, docs, items) == want
