@@ -124,7 +124,7 @@ def _hint(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         for k in (1, 2, 4):
             run[:-k] &= run[k:].copy()
             run[-k:] = False
-        if len(run) > 24:
+        if len(run) >= 24:
             hint[:-16] |= run[:-16] & run[8:-8] & run[16:]
             hint[-24:] |= run[-24:]
     return tx.within(hint, offs) > 0

@@ -169,3 +169,13 @@ def test_sharding(spark, awkward):
             assert len(size) == 8 and max(size.values()) <= even * sum(size.values()) / 8, size
     again = {(r.doc_id, r.shard, r.slot) for r in sharding.shard(docs.repartition(5)).collect()}
     assert again == {(r.doc_id, r.shard, r.slot) for r in sharding.shard(docs).collect()}
+
+
+def test_hint_of_a_whole_step():
+    """A step of exactly 24 bytes, all hexadecimal digits."""
+    import numpy as np
+
+    from accordis.llm.secrets import _hint
+
+    for n in (23, 24, 25):
+        assert _hint(np.frombuffer(b"deadbeef0123456789abcdef0"[:n], np.uint8), np.array([0, n])).tolist() == [n >= 24]
