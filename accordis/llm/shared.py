@@ -20,10 +20,13 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local session (tests) gets one of its
+    own; a cluster's executors could not see it, so there it is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="accordis-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir() or at
@@ -80,6 +83,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def column_place(df: DataFrame, name: str) -> int:
+    """Where a column stands; as in Spark, case does not matter."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components by alternating large-star and small-star steps; no component meets in one task.
 

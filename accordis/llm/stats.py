@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from accordis.llm import text as tx
-from accordis.llm.shared import arrow_batches, map_arrow
+from accordis.llm.shared import arrow_batches, column_place, map_arrow
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios and logarithms that rules and kernels are learnt from.
@@ -105,7 +105,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
 def annotated(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the statistics as __q_<name>; row by row, so null and repeated ids are no matter."""
-    column = docs.columns.index("text")
+    column = column_place(docs, "text")
     kind = StructType([*docs.schema.fields, *(StructField(f"__q_{c}", LongType() if c in BASE else DoubleType()) for c in BASE + FEATURES)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
