@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.units import LOW, answered, pack, sent, unpack
+from accordis.llm.units import LOW, answered, pack, places, sent, unpack
 
 U = np.uint64
 #: Random steps of the gear for each byte; the hash of 8 bits' depth depends on the last 8 bytes.
@@ -67,42 +67,42 @@ def _cut(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _letter(p: dict[str, np.ndarray], ids: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Distinct digests by range, whether the unit has one twice, and the smallest id that has it here."""
+    """Distinct digests by range, whether the unit has one at two places, and the first document that has it here."""
     key, inverse = np.unique(p["key"], return_inverse=True)
     p["index"] = inverse.astype(np.uint32)
-    count = np.bincount(inverse, minlength=len(key))
-    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    low = np.full(len(key), len(ids))
-    np.minimum.at(low, inverse, rank[p["doc"]])
-    owner = np.argsort(ids, kind="stable")[low] if len(key) else low
+    begin = np.concatenate([[0], np.cumsum(np.bincount(p["doc"], minlength=len(ids)))])
+    p["lead"], _, twice, owner = places(ids, p["hashes"], p["doc"], np.arange(len(inverse)) - begin[p["doc"]], inverse, len(key))
     edges = np.searchsorted(key, np.array([(1 << 64) * r // ranges for r in range(ranges)], U))
     for r, (a, z) in enumerate(zip(edges, [*edges[1:], len(key)], strict=True)):
         if z > a:
             who, at = np.unique(owner[a:z], return_inverse=True)
-            yield r, pack(key=key[a:z], twice=(count[a:z] > 1), at=at.astype(np.uint16)), pack(ids=ids[who])
+            yield r, pack(key=key[a:z], twice=twice[a:z], at=at.astype(np.uint16)), pack(ids=ids[who], hashes=p["hashes"][who])
 
 
 def _payload(p: dict[str, np.ndarray]) -> bytes:
     n = np.bincount(p["doc"]) if len(p["doc"]) else np.zeros(0, np.int64)
-    return pack(n=n.astype(np.int32), index=p["index"], chars=p["chars"], words=p["words"])
+    return pack(n=n.astype(np.int32), index=p["index"], chars=p["chars"], words=p["words"], lead=np.packbits(p["lead"]))
 
 
 def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
-    """For each letter: which of its digests are anywhere twice, and for these the smallest id."""
+    """For each letter: which of its digests are anywhere at two places, which of these are here first, and the id that
+    has the first."""
     parts = [unpack(b, "<u8", "?", "<u2") for b in bodies]
     key, twice = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    owner = np.concatenate([unpack(d, "<i8")[0][p[2]] for d, p in zip(docs, parts, strict=True)])
-    order = np.lexsort((owner, key))
-    k = key[order]
+    owner, hashes = (np.concatenate([unpack(d, "<i8", "<i8")[i][p[2]] for d, p in zip(docs, parts, strict=True)]) for i in (0, 1))
+    order = np.lexsort((hashes, owner, key))
+    k, o, h = key[order], owner[order], hashes[order]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.concatenate([begin, [len(k)]]))
-    many = (size > 1) | (np.add.reduceat(twice[order], begin) > 0)
-    many_all, first = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-    many_all[order], first[order] = np.repeat(many, size), np.repeat(owner[order][begin], size)
+    own = (o == np.repeat(o[begin], size)) & (h == np.repeat(h[begin], size))
+    many = (np.add.reduceat(~own, begin) > 0) | (np.add.reduceat(twice[order], begin) > 0)
+    many_all, mine, first = np.zeros(len(key), bool), np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    many_all[order], mine[order], first[order] = np.repeat(many, size), own, np.repeat(o[begin], size)
     out, at = [], 0
     for p in parts:
-        m = many_all[at : at + len(p[0])]
-        out.append(pack(bits=np.packbits(m), first=first[at : at + len(p[0])][m], n=np.array([len(m)])))
+        part = slice(at, at + len(p[0]))
+        m = many_all[part]
+        out.append(pack(bits=np.packbits(m), mine=np.packbits(mine[part]), first=first[part][m], n=np.array([len(m)])))
         at += len(p[0])
     return out
 
@@ -111,28 +111,25 @@ def _assemble(least_words: int):
     kinds = ["doc_id", "th", "start", "end", "words", "first_doc_id", "duplicate"]
 
     def run(body: bytes, who: bytes, answers: dict[int, bytes]) -> pa.Table:
-        n, index, chars, words = unpack(body, "<i4", "<u4", "<u2", "<u2")
+        n, index, chars, words, lead = unpack(body, "<i4", "<u4", "<u2", "<u2", "u1")
         ids, hashes = unpack(who, "<i8", "<i8")
-        again, first = [], []
+        again, first, mine = [], [], []
         for r in sorted(answers):
-            bits, own, size = unpack(answers[r], "u1", "<i8", "<i8")
-            m = np.unpackbits(bits)[: size[0]].astype(bool)
+            bits, here, own, size = unpack(answers[r], "u1", "u1", "<i8", "<i8")
+            m, x = (np.unpackbits(v)[: size[0]].astype(bool) for v in (bits, here))
             f = np.zeros(len(m), np.int64)
             f[m] = own
             again.append(m)
             first.append(f)
+            mine.append(x)
         if not len(index):
             return pa.table({k: pa.array([], pa.bool_() if k == "duplicate" else pa.int64()) for k in kinds})
-        again, first = np.concatenate(again)[index], np.concatenate(first)[index]
+        again, first, mine = (np.concatenate(x)[index] for x in (again, first, mine))
         doc = np.repeat(np.arange(len(n)), n)
         end = np.cumsum(chars.astype(np.int64))
         base = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n)])[:-1]]
         start = end - chars - base[doc]
-        # Later occurrences in the document that owns the first one.
-        order = np.lexsort((np.arange(len(doc)), index, doc))
-        later = np.zeros(len(doc), bool)
-        later[order[1:]] = (index[order[1:]] == index[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-        dup = again & ((first != ids[doc]) | later)
+        dup = again & ~(mine & np.unpackbits(lead)[: len(index)].astype(bool))
         # Neighbouring repeated chunks are one passage; a row for each stretch of it that goes or stays.
         new_island = again & ~(np.concatenate([[False], again[:-1]]) & (doc == np.concatenate([[-1], doc[:-1]])))
         island = np.cumsum(new_island) - 1
@@ -158,9 +155,10 @@ def repeated_spans(docs: DataFrame, *, least_words: int = 25) -> DataFrame:
     A passage is a run of chunks that each occur elsewhere (in any document, or again in this one), of at least
     least_words words (those that begin in its chunks); the edges of a repeated text that fill no chunk are not
     counted, so a text of 50 words shows about 41. duplicate is true for stretches that dedup removes and false where
-    this document has the first occurrence (smallest doc_id, then first place); first_doc_id is the smallest id that
-    holds one of the chunks. A null doc_id is smaller than all and shown as null. Null and empty texts have no
-    chunks. Documents with equal doc_id count as one owner; repeated rows that make an equal unit answer once.
+    this place is the first (by doc_id, hash of the text, then place); first_doc_id is the smallest id that holds one of
+    the chunks. A null doc_id is smaller than all and shown as null. Null and empty texts have no chunks, an empty table
+    no rows; other columns are ignored. Repeated rows (equal doc_id and text) are one document, which is no repeat of
+    itself: each gives the rows that one would. A text's chunks must fit a task's memory.
     """
     letters, _ = sent(docs, _cut, _letter, _payload, "chunks")
     schema = "doc_id long, th long, start long, end long, words long, first_doc_id long, duplicate boolean"

@@ -1,8 +1,8 @@
-"""Suffix-array dedup: sparse suffixes at minimiser positions, sorted, compared with their neighbours and extended."""
+"""Suffix-array dedup: sparse suffixes at minimiser positions, sorted, compared with neighbours, extended to both sides."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.shared import arrow_batches
-from accordis.llm.units import LOW, answered, pack, sent, unpack
+from accordis.llm.shared import arrow_batches, column_place
+from accordis.llm.units import LOW, answered, pack, places, sent, unpack
 
 U = np.uint64
 K = 6  # words of a minimiser
-WINDOW = 32  # neighbouring K-grams of which the least is retained: any WINDOW + K - 1 equal words share a suffix start
-REACH = 32  # words that a suffix is compared to the right of its minimiser, and to the left: as far as to the next one
-SEED = 25  # words of a match that counts
+LEAST_WORDS = 30  # words of a passage; any so many equal words hold a window of LEAST_WORDS - K + 1 K-grams, whose least is retained
+CODE = 12  # bits of a word beside a minimiser
+NONE = 255
 _POS = U((1 << 22) - 1)
 
 
-def minimisers(g: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def minimisers(g: np.ndarray, doc: np.ndarray, window: int = LEAST_WORDS - K + 1) -> np.ndarray:
     """Indices of the K-grams that are the least of some window of their text (a shorter text: of all of it)."""
     n = len(g)
     if not n:
@@ -42,57 +42,70 @@ def minimisers(g: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarr
     return np.unique(np.concatenate([at, short[length < window]]))
 
 
-def _cut(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    data = tx.LOWER[data]
-    starts, ends, first = tx.words(data, offs)
-    h = tx.spans_hash(tx.prefix(data), starts, ends)
-    g, doc = tx.grams(h, first, K)
-    at = minimisers(g, doc)
-    doc_at = doc[at]
-    pos = at - np.searchsorted(doc, doc_at)  # K-grams of a text are its words from the first on
-    word = first[doc_at] + pos
-    none = len(h)
-    # A byte for each word and the one after it (to the left: before it), or the text's end. A match so ends a word
-    # early, and runs over only if two bytes in a row are equal by chance.
-    ahead, behind = np.zeros(none, U), np.zeros(none, U)
-    ahead[:-1], behind[1:] = h[1:], h[:-1]
-    edge = first[(first > 0) & (first < none)]
-    ahead[edge - 1] = behind[edge] = 0
-    byte = [np.concatenate([np.maximum(tx.mix(h + x * tx.LANE[11]) >> U(56), U(1)).astype(np.uint8), np.zeros(1, np.uint8)]) for x in (ahead, behind)]
-    right = word[:, None] + K + np.arange(REACH)
-    right = byte[0][np.where(right < first[doc_at + 1][:, None], right, none)]
-    left = word[:, None] - 1 - np.arange(REACH)
-    left = byte[1][np.where(left >= first[doc_at][:, None], left, none)]
-    # Least hashes are small; mixed again they spread over the ranges.
-    return {"doc": doc_at, "key": tx.mix(g[at] + tx.LANE[13]), "right": right, "left": left, "pos": pos.astype(np.uint32)}
+def narrow(codes: np.ndarray) -> np.ndarray:
+    """Rows of 12-bit numbers, an even count, as bytes; order by bytes is order by numbers."""
+    x, y = codes[:, 0::2], codes[:, 1::2]
+    return np.stack([x >> 4, (x & 15) << 4 | y >> 8, y & 255], axis=2).astype(np.uint8).reshape(len(codes), codes.shape[1] // 2 * 3)
+
+
+def wide(raw: np.ndarray, width: int) -> np.ndarray:
+    b = raw.reshape(-1, width // 2, 3).astype(np.uint16)
+    return np.stack([b[:, :, 0] << 4 | b[:, :, 1] >> 4, (b[:, :, 1] & 15) << 8 | b[:, :, 2]], axis=2).reshape(len(b), width)
+
+
+def _even(reach: int) -> int:
+    return reach + reach % 2
+
+
+def _cut(least_words: int) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    reach, window = least_words - K, least_words - K + 1
+
+    def run(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+        data = tx.LOWER[data]
+        starts, ends, first = tx.words(data, offs)
+        h = tx.spans_hash(tx.prefix(data), starts, ends)
+        g, doc = tx.grams(h, first, K)
+        at = minimisers(g, doc, window)
+        at = at[np.diff(first)[doc[at]] >= least_words]
+        doc_at = doc[at]
+        pos = at - np.searchsorted(doc, doc_at)  # K-grams of a text are its words from the first on
+        word, none = first[doc_at] + pos, len(h)
+        code = np.concatenate([np.maximum(tx.mix(h + tx.LANE[11]) >> U(64 - CODE), U(1)).astype(np.uint16), np.zeros(1, np.uint16)])
+        right = word[:, None] + K + np.arange(_even(reach))
+        right = code[np.where(right < first[doc_at + 1][:, None], right, none)]
+        left = word[:, None] - 1 - np.arange(_even(reach))
+        left = code[np.where(left >= first[doc_at][:, None], left, none)]
+        right[:, reach:] = left[:, reach:] = 0
+        # Least hashes are small; mixed again they spread over the ranges.
+        return {"doc": doc_at, "key": tx.mix(g[at] + tx.LANE[13]), "right": narrow(right), "left": narrow(left), "pos": pos.astype(np.uint32)}
+
+    return run
+
+
+def _columns(raw: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian numbers, so that order by columns is order by bytes."""
+    wide_ = np.zeros((len(raw), -(-raw.shape[1] // 8) * 8), np.uint8)
+    wide_[:, : raw.shape[1]] = raw
+    return wide_.view(">u8").astype(U)
 
 
 def _letter(p: dict[str, np.ndarray], ids: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Distinct suffixes with their contexts by range of minimisers; equal ones of a unit go once."""
-    both = np.concatenate([p["right"], p["left"]], axis=1).view("<u8")
+    """Distinct suffixes with their contexts by range of minimisers; equal ones of a unit go once, with their first place."""
     name = p["key"].copy()
-    for i in range(both.shape[1]):
-        name = tx.mix(name + both[:, i] * tx.LANE[i])
+    for side in ("right", "left"):
+        c = _columns(p[side])
+        for i in range(c.shape[1]):
+            name = tx.mix(name + c[:, i] * tx.LANE[i + (side == "left") * 20])
     name = (p["key"] & ~U(0xFFFFFFFF)) | (name >> U(32))  # by minimiser, so that ranges are slices
-    _, at, inverse, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    _, at, inverse = np.unique(name, return_index=True, return_inverse=True)
     p["index"] = inverse.astype(np.uint32)
-    # The first place of each: by id, hash of the text and word. Repeated rows share their places.
-    hashes = p["hashes"]
-    by = np.lexsort((hashes, ids))
-    new = (ids[by[1:]] != ids[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]])
-    rank = np.zeros(len(ids), np.int64)
-    rank[by[1:]] = np.cumsum(new)
-    place = (rank[p["doc"]] << 32) + p["pos"]
-    low = np.full(len(at), np.iinfo(np.int64).max)
-    np.minimum.at(low, inverse, place)
-    p["lead"] = place == low[inverse]
-    owner = by[np.searchsorted(rank[by], low >> 32)]
+    p["lead"], low, twice, owner = places(ids, p["hashes"], p["doc"], p["pos"], inverse, len(at))
     key = p["key"][at]
     edges = np.searchsorted(key >> U(32), np.array([(1 << 32) * r // ranges for r in range(ranges)], U))
     for r, (a, z) in enumerate(zip(edges, [*edges[1:], len(key)], strict=True)):
         if z > a:
             who, where = np.unique(owner[a:z], return_inverse=True)
-            yield r, pack(key=key[a:z], right=p["right"][at[a:z]], left=p["left"][at[a:z]], twice=count[a:z] > 1, at=where.astype(np.uint16), pos=(low[a:z] & 0xFFFFFFFF).astype(np.uint32)), pack(ids=ids[who], hashes=hashes[who])
+            yield r, pack(key=key[a:z], right=p["right"][at[a:z]], left=p["left"][at[a:z]], twice=twice[a:z], at=where.astype(np.uint16), pos=low[a:z].astype(np.uint32)), pack(ids=ids[who], hashes=p["hashes"][who])
 
 
 def _payload(p: dict[str, np.ndarray]) -> bytes:
@@ -106,81 +119,77 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def _earlier(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each item of a sorted row, the nearest one before it with the same key and a smaller rank, or -1."""
-    out = np.full(len(key), -1)
-    same = key[1:] == key[:-1]
-    at = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-    stack: list[tuple[int, int]] = []
-    last, found = None, []
-    for i, k, r in zip(at.tolist(), key[at].tolist(), rank[at].tolist(), strict=True):
-        if k != last:
-            stack, last = [], k
-        while stack and stack[-1][1] >= r:
-            stack.pop()
-        found.append(stack[-1][0] if stack else -1)
-        stack.append((i, r))
-    out[at] = found
-    return out
-
-
-def _match(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
-    """Sorts the suffixes of a range by what follows, and again by what precedes; neighbours with the same minimiser
-    are extended to both sides, and each suffix keeps its longest match. Chains of matches share their smallest id.
-    The words around a suffix that go are those of its matches with earlier places: of these, the nearest neighbour in
-    either order to either side reaches farthest."""
-    parts = [unpack(b, "<u8", "u1", "u1", "?", "<u2", "<u4") for b in bodies]
-    key, twice = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts])
-    right, left = (np.concatenate([p[i].reshape(-1, REACH) for p in parts]) for i in (1, 2))
-    owner, hashes = (np.concatenate([unpack(d, "<i8", "<i8")[i][p[4]] for d, p in zip(docs, parts, strict=True)]) for i in (0, 1))
-    pos = np.concatenate([p[5] for p in parts])
+def extended(key: np.ndarray, right: np.ndarray, left: np.ndarray, rank: np.ndarray, twice: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """For each suffix, words to the left and to the right of its minimiser that stretches of K + reach words hold which
+    are at two places or more, those of them that an earlier place holds (-1: none), and the least rank of such a place.
+
+    Suffixes are sorted by minimiser and what follows; neighbours' common words bound the runs of suffixes that share r
+    words to the right. In a run, those whose reach - r words to the left agree too hold the same stretch. This is done
+    for every r, so all partners count, not the nearest alone, and no pairs are made."""
     n = len(key)
-    by = np.lexsort((pos, hashes, owner))
-    rank = np.zeros(n, np.int64)
-    rank[by[1:]] = np.cumsum((owner[by[1:]] != owner[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]]) | (pos[by[1:]] != pos[by[:-1]]))
-    cut_l, cut_r = np.full(n, -1), np.full(n, -1)
-    best_l, best_r, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    whole_l, whole_r = (_common(x, x) for x in (left, right))
-    best_l[twice], best_r[twice] = whole_l[twice], whole_r[twice]
-    best[twice] = K + whole_l[twice] + whole_r[twice]
-    first = owner.copy()
-    words = [np.ascontiguousarray(x).view(">u8") for x in (right, left)]
-    for x, y in ((0, 1), (1, 0)):
-        order = np.lexsort((*(words[y][:, i] for i in reversed(range(REACH // 8))), *(words[x][:, i] for i in reversed(range(REACH // 8))), key))
-        a, b = order[:-1], order[1:]
-        same = key[a] == key[b]
-        a, b = a[same], b[same]
-        l, r = _common(left[a], left[b]), _common(right[a], right[b])
-        total = K + l + r
-        for i in (a, b):
-            more = total > best[i]
-            best[i[more]], best_l[i[more]], best_r[i[more]] = total[more], l[more], r[more]
-        for turned in (order, order[::-1]):
-            to = _earlier(key[turned], rank[turned])
-            i, j = turned[to >= 0], turned[to[to >= 0]]
-            l, r = _common(left[i], left[j]), _common(right[i], right[j])
-            ok = K + l + r >= SEED
-            cut_l[i[ok]], cut_r[i[ok]] = np.maximum(cut_l[i[ok]], l[ok]), np.maximum(cut_r[i[ok]], r[ok])
-        # Chains of sorted neighbours that match: their smallest id.
-        link = np.zeros(n, bool)
-        link[np.flatnonzero(same)[total >= SEED] + 1] = True
-        begin = np.flatnonzero(~link)
-        low = np.minimum.reduceat(first[order], begin) if n else first
-        first[order] = np.repeat(low, np.diff(np.concatenate([begin, [n]])))
-    best_l[best < SEED] = best_r[best < SEED] = 255
-    more = cut_l >= 0
-    best_l[more], best_r[more] = (np.where(x[more] == 255, c[more], np.maximum(x[more], c[more])) for x, c in ((best_l, cut_l), (best_r, cut_r)))
-    byte = lambda x: np.where(x < 0, 255, x).astype(np.uint8)
-    # Later places of a suffix in its unit lose all that it matches itself in.
-    again = twice & (K + whole_l + whole_r >= SEED)
-    whole_l, whole_r = np.where(again, whole_l, -1), np.where(again, whole_r, -1)
-    out, at = [], 0
-    for p in parts:
-        s = slice(at, at + len(p[0]))
-        hit = best_l[s] < 255
-        out.append(pack(left=best_l[s].astype(np.uint8), right=best_r[s].astype(np.uint8), first=first[s][hit], cuts=np.column_stack([byte(x[s]) for x in (cut_l, cut_r, whole_l, whole_r)])))
-        at += len(p[0])
-    return out
+    hit_l, hit_r, cut_l, cut_r = (np.full(n, -1) for _ in range(4))
+    least = rank.copy()
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if n else np.zeros(0, bool)
+    busy = order[some | twice[order]]
+    if not len(busy):
+        return hit_l, hit_r, cut_l, cut_r, least
+    words = _columns(narrow(right[busy]))
+    busy = busy[np.lexsort((*(words[:, i] for i in reversed(range(words.shape[1]))), key[busy]))]
+    a, b = busy[:-1], busy[1:]
+    lcp = np.concatenate([[-1], np.where(key[a] == key[b], _common(right[a], right[b]), -1)])
+    own_l, own_r = (np.where((x[busy, :reach] == 0).any(1), (x[busy, :reach] == 0).argmax(1), reach) for x in (left, right))
+    before = np.zeros((reach + 1, len(busy)), U)  # of the first l words to the left
+    for l in range(reach):
+        before[l + 1] = tx.mix(before[l] + left[busy, l].astype(U) * tx.LANE[30] + tx.LANE[31])
+    for r in range(reach + 1):
+        run = np.cumsum(lcp < r)
+        x = np.flatnonzero((own_r >= r) & (own_l >= reach - r) & ((np.bincount(run)[run] > 1) | twice[busy]))
+        if not len(x):
+            continue
+        group = tx.mix(before[reach - r, x] + run[x].astype(U) * tx.LANE[32])
+        by = np.argsort(group, kind="stable")
+        x, group = x[by], group[by]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(x)]]))
+        i = busy[x]
+        low, high = np.minimum.reduceat(rank[i], begin), np.maximum.reduceat(rank[i], begin)
+        many = np.repeat((high > low) | (np.add.reduceat(twice[i], begin) > 0), size)
+        low = np.repeat(low, size)
+        later = rank[i] > low
+        for chosen, l_, r_ in ((i[many], hit_l, hit_r), (i[later], cut_l, cut_r)):
+            l_[chosen], r_[chosen] = np.maximum(l_[chosen], reach - r), r
+        least[i] = np.minimum(least[i], low)
+    return hit_l, hit_r, cut_l, cut_r, least
+
+
+def _match(least_words: int) -> Callable[[list[bytes], list[bytes]], list[bytes]]:
+    reach = least_words - K
+
+    def run(bodies: list[bytes], docs: list[bytes]) -> list[bytes]:
+        size = _even(reach) // 2 * 3
+        parts = [unpack(b, "<u8", "u1", "u1", "?", "<u2", "<u4") for b in bodies]
+        key, twice, pos = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 5))
+        right, left = (wide(np.concatenate([p[i].reshape(-1, size) for p in parts]), _even(reach)) for i in (1, 2))
+        owner, hashes = (np.concatenate([unpack(d, "<i8", "<i8")[i][p[4]] for d, p in zip(docs, parts, strict=True)]) for i in (0, 1))
+        by = np.lexsort((pos, hashes, owner))
+        rank = np.zeros(len(key), np.int64)
+        rank[by[1:]] = np.cumsum((owner[by[1:]] != owner[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]]) | (pos[by[1:]] != pos[by[:-1]]))
+        hit_l, hit_r, cut_l, cut_r, least = extended(key, right, left, rank, twice, reach)
+        first = owner[by[np.searchsorted(rank[by], least)]]
+        whole_l, whole_r = (np.where((x[:, :reach] == 0).any(1), (x[:, :reach] == 0).argmax(1), reach) for x in (left, right))
+        byte = lambda x: np.where(x < 0, NONE, x).astype(np.uint8)
+        rows = np.column_stack([byte(x) for x in (hit_l, hit_r, cut_l, cut_r, whole_l, whole_r)])
+        out, at = [], 0
+        for p in parts:
+            s = slice(at, at + len(p[0]))
+            hit = hit_l[s] >= 0
+            out.append(pack(n=np.array([len(hit)]), bits=np.packbits(hit), first=first[s][hit], reach=rows[s][hit]))
+            at += len(p[0])
+        return out
+
+    return run
 
 
 KINDS = ["doc_id", "th", "start_word", "end_word", "words", "first_doc_id"]
@@ -197,68 +206,66 @@ def _merged(start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.n
     return start[b], far[np.concatenate([b[1:], [len(start)]]) - 1], np.minimum.reduceat(first, b)
 
 
-def _assemble(least_words: int):
-    def run(body: bytes, who: bytes, answers: dict[int, bytes]) -> pa.Table:
-        n, index, pos, lead = unpack(body, "<i4", "<u4", "<u4", "?")
-        ids, hashes = unpack(who, "<i8", "<i8")
-        empty = pa.table({**{k: pa.array([], pa.int64()) for k in KINDS}, "duplicate": pa.array([], pa.bool_())})
-        if not len(index):
-            return empty
-        left, right, first, cuts = [], [], [], []
-        for r in sorted(answers):
-            l, x, own, c = unpack(answers[r], "u1", "u1", "<i8", "u1")
-            f = np.zeros(len(l), np.int64)
-            f[l < 255] = own
-            left.append(l)
-            right.append(x)
-            first.append(f)
-            cuts.append(c.reshape(-1, 4))
-        left, right, first, cuts = (np.concatenate(x)[index] for x in (left, right, first, cuts))
-        cut_l, cut_r = (np.where(lead, cuts[:, i], cuts[:, i + 2]).astype(np.int64) for i in (0, 1))
-        wide = np.repeat(np.arange(len(n)), n) << 40
-        wide += pos
-        hit = left < 255
-        if not hit.any():
-            return empty
-        b, e, _ = _merged((wide - left)[hit], (wide + K + right)[hit], first[hit])
-        keep = e - b >= least_words
-        b, e = b[keep], e[keep]
-        goes = (cut_l < 255) & hit
-        x, z, low = _merged((wide - cut_l)[goes], (wide + K + cut_r)[goes], first[goes])
-        # A row for each stretch of a passage that goes or stays.
-        edge = np.unique(np.concatenate([b, e, x, z]))
-        start, end = edge[:-1], edge[1:]
-        inside = lambda lo, hi: np.searchsorted(lo, start, "right") > np.searchsorted(hi, start, "right")
-        keep = inside(b, e)
-        dup = inside(x, z)[keep]
-        start, end = start[keep], end[keep]
-        d = start >> 40
-        own = ids[d]
-        if dup.any():
-            own[dup] = low[np.searchsorted(x, start[dup], "right") - 1]
-        low, start, end = own, start & ((1 << 40) - 1), end - (d << 40)
-        nulls = lambda x: pa.array(x, pa.int64(), mask=x == LOW)
-        return pa.table({"doc_id": nulls(ids[d]), "th": pa.array(hashes[d]), "start_word": pa.array(start), "end_word": pa.array(end), "words": pa.array(end - start), "first_doc_id": nulls(low), "duplicate": pa.array(dup)})
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, *, least_words: int = 30) -> DataFrame:
+def _assemble(body: bytes, who: bytes, answers: dict[int, bytes]) -> pa.Table:
+    n, index, pos, lead = unpack(body, "<i4", "<u4", "<u4", "?")
+    ids, hashes = unpack(who, "<i8", "<i8")
+    empty = pa.table({**{k: pa.array([], pa.int64()) for k in KINDS}, "duplicate": pa.array([], pa.bool_())})
+    if not len(index):
+        return empty
+    first, rows = [], []
+    for r in sorted(answers):
+        size, bits, own, reach = unpack(answers[r], "<i8", "u1", "<i8", "u1")
+        hit = np.unpackbits(bits)[: size[0]].astype(bool)
+        f, x = np.zeros(len(hit), np.int64), np.full((len(hit), 6), NONE, np.uint8)
+        f[hit], x[hit] = own, reach.reshape(-1, 6)
+        first.append(f)
+        rows.append(x)
+    first, rows = np.concatenate(first)[index], np.concatenate(rows)[index].astype(np.int64)
+    # Later places of a suffix in its unit lose all that is compared around it.
+    hit_l, hit_r, cut_l, cut_r = (np.where(lead | (rows[:, 0] == NONE), rows[:, i], rows[:, 4 + i % 2]) for i in range(4))
+    wide_ = np.repeat(np.arange(len(n)), n) << 40
+    wide_ += pos
+    hit = hit_l != NONE
+    if not hit.any():
+        return empty
+    b, e, _ = _merged((wide_ - hit_l)[hit], (wide_ + K + hit_r)[hit], first[hit])
+    goes = (cut_l != NONE) & hit
+    x, z, low = _merged((wide_ - cut_l)[goes], (wide_ + K + cut_r)[goes], first[goes])
+    # A row for each stretch of a passage that goes or stays.
+    edge = np.unique(np.concatenate([b, e, x, z]))
+    start, end = edge[:-1], edge[1:]
+    inside = lambda lo, hi: np.searchsorted(lo, start, "right") > np.searchsorted(hi, start, "right")
+    keep = inside(b, e)
+    dup = inside(x, z)[keep]
+    start, end = start[keep], end[keep]
+    d = start >> 40
+    own = ids[d]
+    if dup.any():
+        own[dup] = low[np.searchsorted(x, start[dup], "right") - 1]
+    low, start, end = own, start & ((1 << 40) - 1), end - (d << 40)
+    nulls = lambda x: pa.array(x, pa.int64(), mask=x == LOW)
+    return pa.table({"doc_id": nulls(ids[d]), "th": pa.array(hashes[d]), "start_word": pa.array(start), "end_word": pa.array(end), "words": pa.array(end - start), "first_doc_id": nulls(low), "duplicate": pa.array(dup)})
+
+
+def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), start_word, end_word (exclusive), words, first_doc_id and duplicate of repeated
-    passages of at least least_words words.
-
-    Words are split at ASCII white space, A-Z lower-cased. Any two places with WINDOW + K - 1 = 37 equal words share a
-    minimiser. A suffix at a minimiser is compared with its neighbours in the order of what follows and of what
-    precedes (hashes of REACH words to each side, which may leave out a span's first and last word), matches of SEED words count, and matches of neighbouring suffixes
-    of a document are joined to one passage, with a row for each stretch of it that goes or stays: duplicate is true
-    for words that match an earlier place (by doc_id, hash of the text, then word; in another document or in this one)
-    and false where this place is the first. first_doc_id of a duplicate is the smallest id that its chains of matches
-    hold, else its own. A null doc_id is smaller than all and shown as null. Null, empty and short texts have no
-    spans. Repeated rows (equal doc_id and text) are one document here: they get the same rows.
+    passages: all words in stretches of least_words words (K + 1 to 200) that occur at two places or more.
+
+    Words are split at ASCII white space, A-Z lower-cased. Every stretch of least_words words holds a minimiser that
+    depends on its words alone. Suffixes at minimisers are sorted and compared as far as any such stretch reaches
+    (12-bit codes of the words around the minimiser: of stretches that differ in one word, one in 4,096 passes as
+    equal). There is a row for each part of a passage that goes or stays: duplicate is true for words in a stretch that
+    an earlier place holds (by doc_id, hash of the text, then word; in another document or in this one) and false where
+    this place is the first. first_doc_id of a duplicate is the least id among the places that its stretches are at,
+    else its own. A null doc_id is smaller than all and shown as null. Null, empty and short texts have no spans, an
+    empty table no rows; other columns are ignored. Repeated rows (equal doc_id and text) are one document, which is no
+    repeat of itself: each gives the rows that one would. A text, and the suffixes of one minimiser, meet in one task.
     """
-    letters, _ = sent(docs, _cut, _letter, _payload, "suffixes")
+    if not K < least_words <= 200:
+        raise ValueError("least_words")
+    letters, _ = sent(docs, _cut(least_words), _letter, _payload, "suffixes")
     schema = ", ".join(f"{k} long" for k in KINDS) + ", duplicate boolean"
-    return answered(letters, _match, _assemble(least_words), schema, pa.schema([*((k, pa.int64()) for k in KINDS), ("duplicate", pa.bool_())]))
+    return answered(letters, _match(least_words), _assemble, schema, pa.schema([*((k, pa.int64()) for k in KINDS), ("duplicate", pa.bool_())]))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -268,7 +275,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     cuts = spans.groupBy(key.alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("__cuts"))
     out = docs.withColumns({"__id": key, "__th": F.xxhash64(F.col("text").cast("string"))}).join(cuts, ["__id", "__th"], "left")
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "__cuts")
-    column, last = docs.columns.index("text"), len(docs.columns)
+    column, last = column_place(docs, "text"), len(docs.columns)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -7,6 +7,7 @@ answers each unit; units put answers and their own payload together. Both exchan
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -56,6 +57,20 @@ def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def places(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, ...]:
+    """Places of keys (numbers from 0) in a unit, in the order of id, hash of the text and position: whether a place is
+    its key's first; and for each key the position and text of the first, and whether there are two. Repeated rows
+    (equal id and text) have the same places."""
+    by = np.lexsort((hashes, ids))
+    rank = np.zeros(len(ids), np.int64)
+    rank[by[1:]] = np.cumsum((ids[by[1:]] != ids[by[:-1]]) | (hashes[by[1:]] != hashes[by[:-1]]))
+    place = (rank[doc] << 32) + pos
+    low, high = np.full(keys, np.iinfo(np.int64).max), np.full(keys, -1)
+    np.minimum.at(low, key, place)
+    np.maximum.at(high, key, place)
+    return place == low[key], low & 0xFFFFFFFF, high > low, by[np.searchsorted(rank[by], low >> 32)]
+
+
 #: cut(data, offs) -> arrays of keyed places of a step, with "doc" (rising) and "key" (uint64) among them.
 Cut = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
@@ -63,8 +78,8 @@ Cut = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.ndarray, int], Iterator[tuple[int, bytes, bytes]]], payload: Callable[[dict[str, np.ndarray]], bytes], tag: str) -> tuple[DataFrame, int]:
     """Writes the letters of all units to all ranges, and each unit's payload (range -1).
 
-    letter(places, ids, ranges) yields (range, body, docs); places has the texts' "hashes" too. A unit's name is a hash of its texts and ids, made again
-    the same if a task is; equal units (repeated rows) share one name and one answer."""
+    letter(places, ids, ranges) yields (range, body, docs); places has the texts' "hashes" too. A unit's name is a random
+    number: letters are written once, so that none is made again under another name."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
     ranges = min(MOST_RANGES, max(1, size // RANGE_BYTES))
@@ -78,7 +93,7 @@ def sent(docs: DataFrame, cut: Cut, letter: Callable[[dict[str, np.ndarray], np.
             if held.docs:
                 ids, hashes = np.concatenate(held.ids), np.concatenate(held.hashes)
                 places = {k: np.concatenate([p[k] for p in held.parts]) for k in held.parts[0]}
-                name = int((tx.mix(ids.view(U) * tx.LANE[1] + hashes.view(U)) * (np.arange(len(ids), dtype=U) * U(2) + U(1))).sum().view(np.int64))
+                name = int.from_bytes(os.urandom(8), "big") >> 1
                 places["hashes"] = hashes
                 rows = [(r, body, who) for r, body, who in letter(places, ids, ranges)]
                 rows.append((-1, payload(places), pack(ids=ids, hashes=hashes)))
