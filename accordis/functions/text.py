@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters whose decomposition is a plain letter and marks, and that letter: built by rule, not listed.
-def _folds() -> tuple[str, str]:
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Latin letters that decompose into a plain letter and marks, and that letter; and those (ligatures, digraphs) that
+    give several letters. By rule, not listed."""
     import unicodedata
 
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for r in ((0xAA, 0x250), (0x1E00, 0x1F00), (0x2460, 0x2474), (0xFB00, 0xFB07), (0xFF10, 0xFF5B)) for c in range(*r)]
+    one = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), [(a, b) for a, b in pairs if len(b) > 1]
 
 
 def normalize_whitespace(x: Column) -> Column:
@@ -21,7 +22,7 @@ def normalize_whitespace(x: Column) -> Column:
 
 def is_empty(x: Column) -> Column:
     """Null, blank, or an empty JSON list or object."""
-    return x.isNull() | F.trim(F.regexp_replace(x, r"\s+", " ")).isin("", "[]", "{}")
+    return x.isNull() | F.regexp_like(x, F.lit(r"^\s*(\[\]|\{\})?\s*$"))
 
 
 def non_empty(x: Column) -> Column:
@@ -37,9 +38,13 @@ def to_title_case(x: Column) -> Column:
 
 
 def slugify(x: Column) -> Column:
-    """ASCII letters, digits and hyphens: marks fall away, other characters go, spaces and _ become -."""
-    a, b = _folds()
-    kept = F.regexp_replace(F.lower(F.translate(x, a, b)), r"[^\x00-\x7F]", "")
+    """ASCII letters, digits and hyphens: marks fall away, ligatures are spelt out, other characters go, spaces and _
+    become -. Texts of ASCII letters skip the folds."""
+    a, b, many = _folds()
+    folded = F.translate(x, a, b)
+    for old, new in many:
+        folded = F.replace(folded, F.lit(old), F.lit(new))
+    kept = F.regexp_replace(F.lower(F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), folded).otherwise(x)), r"[^\x00-\x7F]", "")
     kept = F.trim(F.regexp_replace(kept, r"[^\w\s-]", ""))
     return F.regexp_replace(F.regexp_replace(kept, r"[\s_]+", "-"), r"^-+|-+$", "")
 

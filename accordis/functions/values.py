@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,49 +59,88 @@ def normalize_phone(x: Column, region: Column | None = None) -> Column:
     return F.struct(F.coalesce(found, x).alias("phone"), F.when(found.isNotNull(), F.lit(1.0)).otherwise(ref.INVALID_CONFIDENCE).alias("confidence"))
 
 
-def normalize_date(x: Column) -> Column:
-    """struct(date, valid): YYYY-MM or Present; a date that is not understood stays as it is."""
-    t = F.trim(x)
-    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
-
-    def month(year: Column, m: Column) -> Column:
-        return F.when(year.between(1900, 2100) & m.between(1, 12), F.format_string("%04d-%02d", year, m))
-
-    ym, my, iso, y = r"^(\d{4})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{4})$", r"^(\d{4})-(\d{2})-\d{2}$", r"^(\d{4})$"
-    # Month names by a constant map and patterns: parsing by formats costs an exception for each that does not fit.
-    names = {n[:k].lower(): i + 1 for i, n in enumerate(ref.MONTHS) for k in (3, len(n))} | {"sept": 9}
-    numbers = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    named = lambda name: F.element_at(numbers, F.lower(name))
-    worded, reversed_ = r"^(?:\d{1,2}\s+)?([A-Za-z]{3,9})[.,]?\s+(?:\d{1,2},?\s+)?(\d{4})$", r"^(\d{4})\s+([A-Za-z]{3,9})$"
-    mdy, ymd = r"^(\d{1,2})/(?:[1-9]|0[1-9]|[12]\d|3[01])/(\d{4})$", r"^(\d{4})[/.](\d{1,2})[/.](?:[1-9]|0[1-9]|[12]\d|3[01])$"
-    found = F.coalesce(
-        F.when(F.lower(t).isin(ref.PRESENT), F.lit("Present")),
-        month(part(ym, 1), part(ym, 2)), month(part(my, 2), part(my, 1)), month(part(iso, 1), part(iso, 2)), month(part(y, 1), F.lit(1)),
-        month(part(worded, 2), named(F.regexp_extract(t, worded, 1))), month(part(reversed_, 1), named(F.regexp_extract(t, reversed_, 2))), month(part(mdy, 2), part(mdy, 1)), month(part(ymd, 1), part(ymd, 2)),
-    )
-    blank = t.isNull() | (t == "")
-    return F.struct(F.when(blank, x).otherwise(F.coalesce(found, x)).alias("date"), (found.isNotNull() & ~blank).alias("valid"))
+def _bound(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+#: Shapes of dates, as year|month of what their groups hold. No two fit the same text.
+_SHAPES = [
+    (r"(\d{4})[-/](\d{1,2})", 1, 2), (r"(\d{1,2})[-/](\d{4})", 2, 1), (r"(\d{4})-(\d{2})-\d{2}", 1, 2), (r"(\d{4})()", 1, 2),
+    (r"(?:\d{1,2}(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,9})[.,]?\s+(?:\d{1,2}(?:st|nd|rd|th)?,?\s+)?(\d{4})", 2, 1), (r"(\d{4}),?\s+([A-Za-z]{3,9})", 1, 2),
+    (r"(\d{1,2})/(?:[1-9]|0[1-9]|[12]\d|3[01])/(\d{4})", 2, 1), (r"(\d{4})[/.](\d{1,2})[/.](?:[1-9]|0[1-9]|[12]\d|3[01])", 1, 2), (r"([A-Za-z]{3,9})[-/](\d{4})", 2, 1),
+]
+_DATE = "^(?:" + "|".join(p for p, _, _ in _SHAPES) + ")$"
+_YEAR_MONTH = "".join(f"${2 * i + y}" for i, (_, y, _) in enumerate(_SHAPES)) + "|" + "".join(f"${2 * i + m}" for i, (_, _, m) in enumerate(_SHAPES))
+_AGO = r"(?i)^(?:(\d{1,3})|an?)\s+(day|week|month|year)s?\s+ago$"
+
+
+def normalize_date(x: Column, today: Column | None = None) -> Column:
+    """struct(date, valid): YYYY-MM or Present; a date that is not understood stays as it is.
+
+    All shapes are alternatives of one pattern, which one pass rewrites as year|month. "3 months ago", "yesterday" and
+    the like count from `today` (default: the current date)."""
+    # Months by a constant map: parsing by formats, and casts of what is no number, cost an exception for each that fails.
+    months = {k: f"{i + 1:02d}" for i, n in enumerate(ref.MONTHS) for k in (n[:3].lower(), n.lower(), str(i + 1), f"{i + 1:02d}")} | {"sept": "09", "": "01"}
+    now = F.current_date() if today is None else today
+    shown = lambda d: F.date_format(d, "yyyy-MM")
+
+    def ago(t: Column) -> Column:
+        n = F.coalesce(F.regexp_extract(t, _AGO, 1).try_cast("int"), F.lit(1))
+        unit = F.lower(F.regexp_extract(t, _AGO, 2))
+        return shown(F.when(unit == "day", F.date_sub(now, n)).when(unit == "week", F.date_sub(now, n * 7)).when(unit == "month", F.add_months(now, -n)).otherwise(F.add_months(now, -12 * n)))
+
+    def found(t: Column, r: Column) -> Column:
+        year, month = F.substring_index(r, "|", 1), F.element_at(_table(months), F.lower(F.substring_index(r, "|", -1)))
+        dated = F.when(year.between("1900", "2100"), F.concat(year, F.lit("-"), month))
+        low = F.lower(t)
+        return F.when(r.contains("|") & ~t.contains("|"), dated).when(low.isin(ref.PRESENT), F.lit("Present")).when(low == "yesterday", shown(F.date_sub(now, 1))).when(F.regexp_like(t, F.lit(_AGO)), ago(t))
+
+    def whole(x: Column) -> Column:
+        date = _bound(F.trim(x), lambda t: _bound(F.regexp_replace(t, _DATE, _YEAR_MONTH), lambda r: found(t, r)))
+        return _bound(date, lambda d: F.struct(F.coalesce(d, x).alias("date"), d.isNotNull().alias("valid")))
+
+    return _bound(x, whole)
+
+
+def _table(d: dict[str, str]) -> Column:
+    """A constant map: one literal in the plan, folded once."""
+    return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
 
 def resolve_country(x: Column) -> Column:
-    """Two-letter code of a country's code or name, else null. Codes go first: "CA" is Canada."""
-    names = F.create_map(*[F.lit(v) for kv in ref.COUNTRIES.items() for v in kv])
-    t = F.trim(x)
-    return F.coalesce(F.when((F.length(t) == 2) & F.upper(t).isin(ref.ALPHA2.split()), F.upper(t)), F.element_at(names, F.lower(t)))
+    """Two-letter code of a country's code (of two or three letters) or English name, else null. Codes of two letters go
+    first: "CA" is Canada; then the usual names, then all others."""
+    codes = {c.lower(): c for c in ref.ALPHA2.split()}
+    every = _table(ref.country_table() | ref.COUNTRIES | codes)
+    return F.element_at(every, F.lower(F.trim(x)))
 
 
 def normalize_location(x: Column) -> Column:
-    """struct(city, state, country, raw) of "city, state, country"; the last part that is a country is one."""
-    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n = F.size(parts)
-    last = resolve_country(F.get(parts, n - 1))
-    rest = F.when(last.isNotNull(), F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(parts)
-    inner = F.get(F.filter(F.transform(parts, resolve_country), lambda c: c.isNotNull()), F.lit(0))
+    """struct(city, state, country, raw) of "city, state, country"; the last part that is a country is one. A JSON object,
+    or a Python dict's printed form, gives its city, state and country."""
+
+    def parsed(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
+        return _bound(F.transform(parts, lambda p: F.struct(p.alias("p"), resolve_country(p).alias("c"))), lambda ps: _bound(F.size(ps), lambda n: split(t, ps, n)))
+
+    def split(t: Column, ps: Column, n: Column) -> Column:
+        last = F.get(ps, n - 1)["c"]
+        rest = F.when(last.isNotNull(), F.slice(ps, 1, F.greatest(n - 1, F.lit(0)))).otherwise(ps)
+        inner = F.get(F.filter(ps, lambda p: p["c"].isNotNull()), F.lit(0))["c"]
+        return F.struct(F.get(rest, F.lit(0))["p"].alias("city"), F.when(F.size(rest) > 1, F.get(rest, F.lit(1))["p"]).alias("state"), F.coalesce(last, inner).alias("country"), t.alias("raw"))
+
+    def item(t: Column, key: str) -> Column:
+        v = F.trim(F.regexp_extract(t, rf"""["']{key}["']\s*:\s*(?:"([^"]*)"|'([^']*)')""", 1))
+        w = F.trim(F.regexp_extract(t, rf"""["']{key}["']\s*:\s*(?:"([^"]*)"|'([^']*)')""", 2))
+        return F.coalesce(F.when(v != "", v), F.when(w != "", w))
+
+    def of_object(t: Column) -> Column:
+        return location_of_struct(item(t, "city"), item(t, "state"), item(t, "country"))
+
+    kind = "struct<city:string,state:string,country:string,raw:string>"
     blank = x.isNull() | (F.trim(x) == "")
-    return F.struct(
-        F.when(~blank, F.get(rest, F.lit(0))).alias("city"), F.when(~blank & (F.size(rest) > 1), F.get(rest, F.lit(1))).alias("state"),
-        F.when(~blank, F.coalesce(last, inner)).alias("country"), F.when(~blank, x).alias("raw"),
-    )
+    return F.when(blank, F.from_json(F.lit("{}"), kind)).when(F.regexp_like(x, F.lit(r"^\s*\{.*\}\s*$")), of_object(x).cast(kind)).otherwise(parsed(x).cast(kind))
 
 
 def location_of_struct(city: Column, state: Column, country: Column) -> Column:

@@ -5,6 +5,7 @@ Three sources that describe a customer are derived from the customer table by ex
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from accordis.functions import text as tx
 from accordis.functions import values as v
 from accordis.operators import entries, merge, skills
 from accordis.plans import pipeline, project, report
-from accordis.sources import ats, github, resume
+from accordis.sources import ats, files, github, resume
 from accordis.sources import observed as ob
+from accordis.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,10 +200,11 @@ def email_extract(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.size(e).cast("long").alias("n_emails"), F.coalesce(F.lower(F.get(e, F.lit(0))), F.lit("")).alias("first_email"))
 
 
-@query(f"select doc_id, cast(len(list_filter(regexp_extract_all(text, '{ref.PHONE_PATTERN}'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) between 7 and 15)) as bigint) as n_phones from documents")
+@query(f"""with x as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{ref.PHONE_PATTERN}'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) between 7 and 15) as l from documents),
+y as (select doc_id, list_sort(list_distinct(list_transform(l, lambda p: trim(p)))) as l from x) select doc_id, cast(len(l) as bigint) as n_phones, md5(array_to_string(l, ';')) as phones from y""")
 def phone_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all(F.col("text"), F.lit(f"({ref.PHONE_PATTERN})"), F.lit(1))
-    return _t(spark, d, "documents").select("doc_id", F.size(F.filter(found, lambda p: F.length(F.regexp_replace(p, r"\D", "")).between(7, 15))).cast("long").alias("n_phones"))
+    found = resume.phones(F.coalesce("text", F.lit("")))
+    return _t(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n_phones"), F.md5(F.array_join(F.array_sort(found), ";").cast("binary")).alias("phones"))
 
 
 @query("select p_partkey, cast(p_size as double) as years from part")
@@ -350,9 +353,12 @@ def validate_phone(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").select("c_custkey", v.validate_phone(raw)["ok"].alias("ok"))
 
 
-@query("select n_nationkey, n_nationkey % 2 = 0 as ok from nation")
+_LETTERS = "concat(chr(cast(65 + c_custkey % 26 as int)), chr(cast(65 + floor(c_custkey / 26) % 26 as int)))"
+
+
+@query(f"select c_custkey, {_LETTERS} in ({', '.join(repr(c) for c in ref.ALPHA2.split())}) as ok from customer")
 def validate_country(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "nation").select("n_nationkey", v.validate_country(F.expr("if(n_nationkey % 2 = 0, 'IN', 'ZZ')"))["ok"].alias("ok"))
+    return _t(spark, d, "customer").select("c_custkey", v.validate_country(F.expr(_LETTERS))["ok"].alias("ok"))
 
 
 @query("select p_partkey, p_partkey % 3 <> 2 as experience_ok, p_partkey % 3 = 1 as education_ok from part")
@@ -397,10 +403,12 @@ def coalesce_fill(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
 
 
-@query("select p_partkey, cast(round(100.0 * 2 * 2 / 5, 4) as double) as ratio from part")
+@query("""with x as (select p_partkey, p_name || ' ' || p_type as a, regexp_replace(p_name || ' ' || p_type, '[aeiou]', '', 'g') as b from part)
+select p_partkey, round(200.0 * length(b) / (length(a) + length(b)), 4)::double as ratio from x""")
 def indel_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity as a Column, without Python: two equal tokens of three and of two letters' words."""
-    return _t(spark, d, "part").select("p_partkey", F.round(sim.token_sort_column(F.lit("ab"), F.lit("axb")), 4).alias("ratio"))
+    """Similarity as a Column, without Python, of each part's name and type and the same without vowels."""
+    a = F.concat_ws(" ", "p_name", "p_type")
+    return _t(spark, d, "part").select("p_partkey", F.round(sim.ratio_column(a, F.regexp_replace(a, "[aeiou]", "")), 4).alias("ratio"))
 
 
 # --- Provenance, log, reports -----------------------------------------------------------------------------------------
@@ -489,18 +497,204 @@ def project_rename(spark: SparkSession, d: str) -> DataFrame:
     return project.project(_profiles(spark, d), {"fields": ["full_name", "emails"], "rename": {"full_name": "name"}})
 
 
-@query("""with j as (select o_custkey, count(distinct (o_orderpriority, o_orderstatus)) as n from orders group by o_custkey)
-select c_custkey, replace(c_name, '#', ' ') as full_name, c_mktsegment || ' worker' as headline, lower(replace(c_name, '#', '.')) || '@example.com' as emails, case when c_custkey % 2 = 0 then 'Python,JavaScript,SQL' else 'JavaScript,Python' end as skills,
-cast(n as integer) as n_jobs, case when c_custkey % 2 = 0 then round((0.98 + 0.98 + 0.85) / 3, 4) else 0.95 end::double as overall_confidence, 'ok' as status from customer left join j on o_custkey = c_custkey""")
+_NUMBER = "lpad(cast(c_custkey as varchar), 6, '0')"
+
+
+@query(f"""with j as (select o_custkey, count(distinct (o_orderpriority, o_orderstatus)) as n from orders group by o_custkey)
+select c_custkey, replace(c_name, '#', ' ') as full_name, c_mktsegment || ' worker' as headline, lower(replace(c_name, '#', '.')) || '@example.com' || case when c_custkey % 3 = 0 then ',g' || c_custkey || '@example.com' else '' end as emails,
+case when c_custkey % 2 = 0 then '+919876' || {_NUMBER} else '+4930' || {_NUMBER} end as phones, 'Town' as city, case when c_custkey % 2 = 0 then 'IN' else 'DE' end as country, cast(c_custkey % 30 as double) as years,
+case when c_custkey % 2 = 0 then 'Python,JavaScript,SQL' else 'JavaScript,Python' end as skills, cast(n as integer) as n_jobs, c_mktsegment || ' BSc 2019-06' as schools, case when c_custkey % 3 = 0 then 'https://github.com/u' || c_custkey end as github,
+case when c_custkey % 3 = 0 then 'https://b' || c_custkey || '.io' end as portfolio,
+round(case when c_custkey % 2 = 0 then (case when c_custkey % 3 = 0 then (0.98 * 3 + 0.95 + 0.8) / 5 else (0.98 * 3 + 0.95) / 4 end) else (case when c_custkey % 3 = 0 then (0.95 * 4 + 0.8) / 5 else 0.95 end) end, 4)::double as overall_confidence, 'ok' as status from customer left join j on o_custkey = c_custkey""")
 def canonical_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Whole profiles of all customers from JSON records and texts."""
+    """Whole profiles of all customers from JSON records, texts (every second) and a code host (every third)."""
     c = _t(spark, d, "customer").withColumn("candidate_key", F.col("c_custkey").cast("string"))
     jobs = _t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("candidate_key")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("title"), F.date_format("o_orderdate", "yyyy-MM").alias("start"))).alias("jobs"))
-    doc = F.to_json(F.struct(F.col("c_name").alias("name"), F.concat(F.col("c_mktsegment"), F.lit(" worker")).alias("title"), F.expr("concat(replace(c_name, '#', '.'), '@example.com')").alias("email"), F.lit("Python, JS").alias("skills"), F.col("jobs").alias("work_experience")))
+    even, number = F.col("c_custkey") % 2 == 0, F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+    doc = F.to_json(F.struct(
+        F.col("c_name").alias("name"), F.concat(F.col("c_mktsegment"), F.lit(" worker")).alias("title"), F.expr("concat(replace(c_name, '#', '.'), '@example.com')").alias("email"), F.lit("Python, JS").alias("skills"), F.col("jobs").alias("work_experience"),
+        F.when(even, F.concat(F.lit("9876"), number)).otherwise(F.concat(F.lit("030 "), number)).alias("contact_phone"), F.when(even, "Town, India").otherwise("Town, Germany").alias("current_location"), (F.col("c_custkey") % 30).alias("yearsOfExperience"),
+        F.array(F.struct(F.col("c_mktsegment").alias("school"), F.lit("BSc").alias("degree"), F.lit("June 2019").alias("graduation_date"))).alias("qualifications"),
+    ))
     docs = c.join(jobs, "candidate_key", "left").select("candidate_key", doc.alias("doc"))
-    texts = c.where("c_custkey % 2 = 0").select("candidate_key", F.concat(F.lit("Ann Lee\nPune, India\nSummary\n"), F.col("c_mktsegment"), F.lit(" worker\nSkills\nPython, SQL\n")).alias("text"))
-    p = pipeline.transform(ats=docs, resumes=texts).canonical
-    return p.select(_key(), "full_name", "headline", F.array_join("emails", ",").alias("emails"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"), F.size("experience").alias("n_jobs"), "overall_confidence", "status")
+    texts = c.where(even).select("candidate_key", F.concat(F.lit("Ann Lee\nPune, India\nSummary\n"), F.col("c_mktsegment"), F.lit(" worker\nSkills\nPython, SQL\n")).alias("text"))
+    none, url = F.lit(None).cast("string"), F.concat(F.lit("https://github.com/u"), F.col("c_custkey"))
+    users = c.where("c_custkey % 3 = 0").select("candidate_key", v.github_username(url).alias("username"), none.alias("name"), none.alias("bio"), F.concat(F.lit("G"), F.col("c_custkey"), F.lit("@Example.com")).alias("email"), none.alias("location"), F.concat(F.lit("https://b"), F.col("c_custkey"), F.lit(".io/")).alias("blog"), url.alias("html_url"))
+    p = pipeline.transform(ats=docs, resumes=texts, users=users).canonical
+    schools = F.array_join(F.transform("education", lambda e: F.concat_ws(" ", e["institution"], e["degree"], e["end_date"])), ",")
+    return p.select(
+        _key(), "full_name", "headline", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "location.city", "location.country", F.col("years_experience").alias("years"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"),
+        F.size("experience").alias("n_jobs"), schools.alias("schools"), "links.github", "links.portfolio", "overall_confidence", "status",
+    )
+
+
+# --- Sources and whole profiles ---------------------------------------------------------------------------------------
+@query("""select c_custkey, 'education' as field, c_mktsegment as a, 'L' || c_nationkey as b, c_name as c, 'degree,field_of_study,gpa,institution,start_date' as keys from customer
+union all select c_custkey, 'experience', c_name, c_mktsegment, '2020-0' || (c_custkey % 9 + 1), 'company,start_date,title,until' from customer
+union all select c_custkey, 'links', 'https://x.io/' || c_custkey, 't' || c_custkey, 'no', 'github,portfolio,twitter' from customer""")
+def ats_records(spark: SparkSession, d: str) -> DataFrame:
+    """Nested records and links of JSON documents under their canonical keys; keys that no alias covers stay."""
+    doc = F.to_json(F.struct(
+        F.array(F.struct(F.col("c_mktsegment").alias("college"), F.concat(F.lit("L"), F.col("c_nationkey")).alias("qualification"), F.col("c_name").alias("stream"), F.lit("2019").alias("from"), F.col("c_custkey").alias("cgpa"))).alias("academic"),
+        F.array(F.struct(F.col("c_name").alias("employer"), F.col("c_mktsegment").alias("designation"), F.concat(F.lit("2020-0"), F.col("c_custkey") % 9 + 1).alias("from_date"), F.lit("now").alias("until"))).alias("career_history"),
+        F.concat(F.lit("https://x.io/"), F.col("c_custkey")).alias("website"), F.struct(F.concat(F.lit("t"), F.col("c_custkey")).alias("twitter"), F.lit("no").alias("github")).alias("social_links"),
+    ))
+    obs, _ = ats.ats_observations(_t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("candidate_key"), doc.alias("doc")))
+    e = lambda *keys: F.coalesce(*[F.element_at("entry", F.lit(k)) for k in keys])
+    o = obs.where("field in ('education', 'experience', 'links')")
+    return o.select(_key(), "field", e("institution", "company", "portfolio").alias("a"), e("degree", "title", "twitter").alias("b"), e("field_of_study", "start_date", "github").alias("c"), F.array_join(F.array_sort(F.map_keys("entry")), ",").alias("keys"))
+
+
+@query("""select c_custkey, 'Ann ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as full_name, case when c_custkey % 2 = 0 then 'Pune, India' else 'near Chennai' end as location, c_mktsegment || ' worker with ' || (c_custkey % 30 + 1) || ' years' as headline,
+cast(c_custkey % 30 + 1 as double) as years, 'u' || c_custkey || '@example.com' as email, '555-' || lpad(cast(c_custkey % 1000 as varchar), 3, '0') || '-1234' as phone, 'https://linkedin.com/in/u' || c_custkey as linkedin, 'https://www.github.com/u' || c_custkey as github,
+'University of ' || c_mktsegment as institution, 'B.Sc' as degree, cast(1990 + c_custkey % 30 as varchar) as end_date, (c_custkey % 10) || '.5' as gpa from customer""")
+def resume_values(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules of résumé texts read from a text for each customer."""
+    k, seg = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    phone = F.concat(F.lit("555-"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit("-1234"))
+    text = F.concat(
+        F.lit("Ann "), F.initcap(F.lower(seg)), F.when(F.col("c_custkey") % 2 == 0, "\nPune, India\n").otherwise("\n near Chennai \n"), F.lit("U"), k, F.lit("@Example.com "), phone, F.lit("\nlinkedin.com/in/u"), k, F.lit(" https://www.github.com/u"), k,
+        F.lit("\nSummary\n"), seg, F.lit(" worker with "), F.col("c_custkey") % 30 + 1, F.lit(" years. Likes SQL\nEducation\nUniversity of "), seg, F.lit("\nB.Sc "), 1990 + F.col("c_custkey") % 30, F.lit(", GPA: "), F.col("c_custkey") % 10, F.lit(".5\n"),
+    )
+    obs, _ = resume.resume_observations(_t(spark, d, "customer").select(k.alias("candidate_key"), text.alias("text")))
+    value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    entry = lambda f, key: F.max(F.when(F.col("field") == f, F.element_at("entry", F.lit(key))))
+    g = obs.groupBy("candidate_key").agg(
+        value("full_name").alias("full_name"), value("location").alias("location"), value("headline").alias("headline"), value("years_experience").cast("double").alias("years"), value("emails").alias("email"), value("phones").alias("phone"), entry("links", "linkedin").alias("linkedin"), entry("links", "github").alias("github"),
+        *[entry("education", x).alias(x) for x in ("institution", "degree", "end_date", "gpa")],
+    )
+    return g.select(_key(), *g.columns[1:])
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    url = F.concat(F.when(k % 2 == 0, "https://www.github.com/u").otherwise("github.com/u"), k, F.when(k % 2 == 0, "/").otherwise(""))
+    none = F.lit(None).cast("string")
+    return _t(spark, d, "customer").select(k.cast("string").alias("candidate_key"), v.github_username(F.when(k % 7 > 0, url).otherwise("https://notgithub.com/u")).alias("username"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("bio"), none.alias("email"), none.alias("location"), none.alias("blog"), F.when(k % 3 > 0, url).alias("html_url"), F.when(k % 3 == 0, F.when(k % 4 == 0, 403).otherwise(404)).alias("status"))
+
+
+@query("""with l as (select o_custkey, o_orderstatus, count(*) as n from orders where o_custkey % 3 > 0 and o_custkey % 7 > 0 group by o_custkey, o_orderstatus),
+r as (select *, row_number() over (partition by o_custkey order by n desc, o_orderstatus) - 1 as i from l)
+select c_custkey, 'full_name' as field, 0 as item_ord, c_name as value, c_name as raw from customer where c_custkey % 3 > 0 and c_custkey % 7 > 0 union all select c_custkey, 'headline', 0, c_mktsegment, c_mktsegment from customer where c_custkey % 3 > 0 and c_custkey % 7 > 0
+union all select o_custkey, 'skills', cast(i as integer), o_orderstatus, o_orderstatus || ' (' || n || ' repos)' from r join customer on c_custkey = o_custkey""")
+def github_profiles(spark: SparkSession, d: str) -> DataFrame:
+    repos = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("candidate_key"), F.col("o_orderstatus").alias("language"))
+    obs, _ = github.github_observations(_users(spark, d), repos)
+    return obs.where("field <> 'links'").select(_key(), "field", "item_ord", "value", "raw")
+
+
+@query("""select c_custkey, c_custkey % 3 > 0 and c_custkey % 7 > 0 as available, case when c_custkey % 12 = 0 then 'rate-limited (403): a token allows 5000 requests an hour' when c_custkey % 3 = 0 then 'not found (404)' when c_custkey % 7 = 0 then 'no user name' end as error from customer""")
+def github_status(spark: SparkSession, d: str) -> DataFrame:
+    _, states = github.github_observations(_users(spark, d), spark.createDataFrame([], "candidate_key string, language string"))
+    return states.select(_key(), "available", F.get("parse_errors", F.lit(0)).alias("error"))
+
+
+@query("""with x as (select c_custkey as k, case c_custkey % 5 when 0 then 'github.com/g' || c_custkey when 1 then 'https://www.github.com/a' || c_custkey when 2 then 'https://github.com/r' || c_custkey when 3 then 'https://notgithub.com/x' end as raw from customer)
+select k as c_custkey, case when k % 5 = 0 then 'https://' || raw when k % 5 in (1, 2) then raw end as url, case k % 5 when 0 then 'g' || k when 1 then 'a' || k when 2 then 'r' || k end as username, case when k % 5 = 3 then 'invalid GitHub URL ''' || raw || '''' end as error from x""")
+def github_url_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The address given, else that of the record's root, else the résumé's."""
+    k = F.col("c_custkey")
+    given = F.when(k % 5 == 0, F.concat(F.lit(" github.com/g"), k)).when(k % 5 == 3, F.lit("https://notgithub.com/x")).otherwise(F.lit(" "))
+    doc = F.to_json(F.struct(F.when(k % 5 == 1, F.concat(F.lit("https://www.github.com/a"), k)).alias("githubUrl")))
+    g = github.profile_url(given, doc, F.when(k % 5 == 2, F.concat(F.lit("https://github.com/r"), k)))
+    return _t(spark, d, "customer").select("c_custkey", g.alias("g")).select("c_custkey", "g.url", "g.username", "g.error")
+
+
+def _small(spark: SparkSession, d: str) -> pipeline.Profiles:
+    """Profiles of records (title, skills, address, e-mail) and of texts of every second customer."""
+    c = _t(spark, d, "customer").withColumn("candidate_key", F.col("c_custkey").cast("string"))
+    doc = F.to_json(F.struct(F.col("c_mktsegment").alias("title"), F.lit("Python, JS").alias("skills"), F.concat(F.lit("https://github.com/u"), F.col("c_custkey")).alias("github_url"), F.concat(F.lit("U"), F.col("c_custkey"), F.lit("@Example.com")).alias("email")))
+    text = F.concat(F.lit("12345\nSummary\n"), F.lower("c_mktsegment"), F.lit("\nSkills\nPython, SQL\n"))
+    return pipeline.transform(ats=c.select("candidate_key", doc.alias("doc")), resumes=c.where("c_custkey % 2 = 0").select("candidate_key", text.alias("text")))
+
+
+@query("""with c as (select c_custkey as k, c_mktsegment as m from customer), e as (select * from c where k % 2 = 0)
+select k as c_custkey, 'headline' as field, 'ATS' as source, m as normalized_value, 'Selected' as notes from c union all select k, 'headline', 'Resume', lower(m), 'Selected' from e
+union all select k, 'links', 'ATS', '{"github":"https://github.com/u' || k || '"}', 'Selected' from c union all select k, 'emails', 'ATS', 'u' || k || '@example.com', 'Selected' from c
+union all select k, 'skills', 'ATS', 'Python', 'Selected' from c union all select k, 'skills', 'ATS', 'JavaScript', 'Selected' from c
+union all select k, 'skills', 'Resume', 'Python', 'Merged with selected skill from source ''ATS''' from e union all select k, 'skills', 'Resume', 'SQL', 'Selected' from e""")
+def profile_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """The trail of whole profiles, as it is attached to them."""
+    x = _small(spark, d).full().select("candidate_key", F.inline("provenance"))
+    return x.where("field <> 'full_name'").select(_key(), "field", "source", "normalized_value", "notes")
+
+
+@query("""with c as (select c_custkey as k, c_mktsegment as m, c_custkey % 2 = 0 as even from customer)
+select k as c_custkey, 'emails' as field, 'u' || k || '@example.com' as winner, 0.95::double as score, 'Merged and deduplicated 1 email(s) from 1 source entries.' as reasoning, 'ATS: u' || k || '@example.com' as candidates from c
+union all select k, 'skills', case when even then '3 skills merged' else '2 skills merged' end, case when even then 0.9267 else 0.95 end, 'Merged and deduplicated ' || case when even then '3' else '2' end || ' skill(s) across all sources.', 'ATS: Python; ATS: JS' || case when even then '; Resume: Python; Resume: SQL' else '' end from c
+union all select k, 'headline', m, case when even then 0.98 else 0.95 end, case when even then 'Agreement between ATS, Resume. Agreement bonus applied: 0.98.' else 'Single source (ATS). Base confidence: 0.95.' end, 'ATS: ' || m || case when even then '; Resume: ' || lower(m) else '' end from c""")
+def list_merge_log(spark: SparkSession, d: str) -> DataFrame:
+    return _small(spark, d).merge_log.where("field <> 'full_name'").select(_key(), "field", "winner", "score", "reasoning", F.array_join("candidates", "; ").alias("candidates"))
+
+
+_JSON = """'{"candidate_id":"' || sha256(cast(c_custkey as varchar)) || '","skills":[' || case when c_custkey % 2 = 0 then '{"name":"Python","confidence":0.98,"sources":["ATS","Resume"]},' else '' end || '{"name":"JavaScript","confidence":0.95,"sources":["ATS"],"aliases":["JS"]}'
+|| case when c_custkey % 2 = 0 then ',{"name":"SQL","confidence":0.85,"sources":["Resume"]}' else ',{"name":"Python","confidence":0.95,"sources":["ATS"]}' end || '],"links":{"github":"https://github.com/u' || c_custkey || '"},"place":null,"emails":["u' || c_custkey || '@example.com"]}'"""
+
+
+@query(f"select sha256(cast(c_custkey as varchar)) as candidate_id, {_JSON} as json from customer")
+def project_serialised(spark: SparkSession, d: str) -> DataFrame:
+    """Nested fields in the output's shape: aliases only where there are any, no empty links, no source of entries."""
+    return project.project_json(_small(spark, d).canonical, {"fields": ["skills", "links", "location", "emails"], "rename": {"location": "place"}, "include_confidence": False, "include_provenance": False})
+
+
+@query("""select c_custkey, 'headline' as field, case when c_custkey % 2 = 0 then 0.98 else 0.95 end::double as score from customer union all select c_custkey, 'links', 0.95 from customer union all select c_custkey, 'emails', 0.9 from customer union all select c_custkey, 'phones', 0.85 from customer
+union all select c_custkey, 'skills', case when c_custkey % 2 = 0 then 0.9267 else 0.95 end from customer""")
+def confidence_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = report.confidence_summary(_small(spark, d).canonical)
+    return s.where("field <> 'full_name'").select(_key(), "field", F.round("score", 4).alias("score"))
+
+
+@query("select c_custkey, 2 as n_records, 'links' as scored, true as shown from customer")
+def visible_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Without name, headline and skills: the records of links and e-mails, and the score of links."""
+    x = project.visible(_small(spark, d).full(), ["full_name", "headline", "skills"])
+    return x.select(_key(), F.size("provenance").alias("n_records"), F.array_join(F.map_keys("confidence_scores"), ",").alias("scored"), F.lit("skills" not in x.columns and "emails" in x.columns).alias("shown"))
+
+
+@query(f"with {_TRAIL} select k as c_custkey, string_agg(s || ':' || v, '; ' order by s) as records, count(distinct s) as n_sources from t group by k")
+def trail_records(spark: SparkSession, d: str) -> DataFrame:
+    t = report.provenance_for(_trail(spark, d), "headline")
+    r = report.trail(t).join(report.source_counts(t), "candidate_key")
+    return r.select(_key(), F.array_join(F.transform("records", lambda x: F.concat_ws(":", x["source"], x["normalized_value"])), "; ").alias("records"), "n_sources")
+
+
+@query("""select c_custkey, case when c_custkey % 20 > 10 then (c_custkey % 20) || '.0%' else (c_custkey % 20) || '.0' end as gpa, c_name || case when c_custkey % 2 = 0 then ', ST' else '' end || case when c_custkey % 3 = 0 and c_custkey % 2 = 0 then '' when c_custkey % 3 = 0 then ', IN' else ', DE' end as place from customer""")
+def displays(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _t(spark, d, "customer").select("c_custkey", report.gpa_display((k % 20).cast("double")).alias("gpa"), report.location_display(F.col("c_name"), F.when(k % 2 == 0, "ST"), F.when(k % 3 == 0, "IN").otherwise("DE")).alias("place"))
+
+
+@query("""select cast(c_custkey as integer) as "index", case when c_custkey % 5 = 0 then 'skipped' when c_custkey % 2 = 0 then 'ok' else 'error' end as status, case when c_custkey % 5 = 0 then 'Missing: Resume PDF' when c_custkey % 2 > 0 then 'missing field: headline' end as error_msg,
+case when c_custkey % 5 > 0 then 'GitHub: ' || case when c_custkey % 3 = 0 then 'invalid GitHub URL ''https://x.io''' else 'profile not found' end end as errors,
+case when c_custkey % 5 > 0 and c_custkey % 2 = 0 then '{"candidate_id":"' || sha256(cast(c_custkey as varchar)) || '","headline":"' || c_mktsegment || '"}' end as output from customer""")
+def batch_output(spark: SparkSession, d: str) -> DataFrame:
+    """Projected results of a batch under the policy error, and what went wrong with sources."""
+    k = F.col("c_custkey")
+    doc = F.to_json(F.struct(F.lit("Ann Lee").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("title")))
+    slots = _t(spark, d, "customer").select(k.cast("int").alias("index"), doc.alias("ats_data"), F.when(k % 5 > 0, "12345").alias("resume_text"), F.when(k % 3 == 0, "https://x.io").otherwise("https://github.com/u").alias("github_url"))
+    out = pipeline.run_batch(slots, config={"fields": ["headline"], "include_confidence": False, "include_provenance": False, "missing_field_policy": "error"})
+    return out.select("index", "status", "error_msg", F.array_join("errors", "; ").alias("errors"), "output")
+
+
+@query("""select p_partkey, sha256('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}') as hash, case when lower(p_name) = lower(p_type) then p_name else p_name || ',' || p_type end as names from part""")
+def hash_and_distinct(spark: SparkSession, d: str) -> DataFrame:
+    names = tx.distinct_ignoring_case(F.array("p_name", F.upper("p_name"), "p_type", F.lower("p_type")))
+    return _t(spark, d, "part").select("p_partkey", tx.stable_hash(F.col("p_partkey"), F.col("p_name")).alias("hash"), F.array_join(names, ",").alias("names"))
+
+
+@query(r"select doc_id, regexp_matches(text, '[A-Za-z]{26,}') or (length(text) - length(replace(text, ' ', ''))) < 0.04 * length(text) as glued, trim(regexp_replace(text, '\s+', ' ', 'g')) in ('', '[]', '{}') or text is null as empty from documents")
+def glued_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", tx.glued(F.col("text")).alias("glued"), tx.is_empty(F.col("text")).alias("empty"))
+
+
+@query("""select c_custkey, c_name as full_name, 'customer-' || c_custkey as slug from customer""")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again by their aliases."""
+    path = f"{shared_dir(spark)}/accordis-json-{uuid.uuid4().hex}"
+    files.write_json(_t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("applicant_name"), F.lit(None).cast("string").alias("name")), path)
+    docs = files.read_json_lines(spark, path)
+    found = ats.find(docs.withColumn("candidate_key", F.get_json_object("doc", "$.c_custkey")), {"full_name": ref.FIELD_ALIASES["full_name"]})
+    return found.select(_key(), F.get("found", F.lit(0))["value"].alias("full_name"), tx.slugify(F.concat(F.lit("Ĉustomér "), F.col("candidate_key"))).alias("slug"))
 
 
 #: Queries whose times bench.py reports.

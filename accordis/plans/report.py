@@ -41,6 +41,21 @@ def trail(provenance: DataFrame) -> DataFrame:
     return provenance.groupBy("candidate_key", "field").agg(F.array_sort(F.collect_list(item)).alias("records"))
 
 
+def provenance_for(provenance: DataFrame, field: str) -> DataFrame:
+    """The records of one field."""
+    return provenance.where(F.col("field") == field)
+
+
+def confidence_for(profiles: DataFrame, field: str) -> DataFrame:
+    """candidate_key, score, sources and reasoning of one field."""
+    return profiles.select("candidate_key", F.element_at("confidence_scores", F.lit(field)).alias("c")).where("c is not null").select("candidate_key", "c.*")
+
+
+def source_counts(provenance: DataFrame) -> DataFrame:
+    """candidate_key and how many sources gave something."""
+    return provenance.groupBy("candidate_key").agg(F.count_distinct("source").alias("n_sources"))
+
+
 def dashboard(results: DataFrame) -> DataFrame:
     """total, ok, errors, skipped and average confidence of a batch (status, overall_confidence)."""
     return results.agg(

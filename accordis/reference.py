@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------------------------------------------------
@@ -76,7 +78,7 @@ PRESENT = ["present", "current", "now", "ongoing", "till date", "till now", "to
 #: Corrections of characters that text recognition mistakes in addresses: (pattern, replacement).
 EMAIL_FIXES = [(r"(?i)\.ccom$", ".com"), (r"(?i)\.con$", ".com"), (r"(?i)@gma[i1l]{2,}\b", "@gmail")]
 
-#: Names of countries that are understood besides two- and three-letter codes.
+#: Usual names of countries. Three-letter codes and other English names: country_table().
 COUNTRIES: dict[str, str] = {
     "usa": "US", "u.s.a": "US", "u.s.a.": "US", "united states": "US", "united states of america": "US", "us": "US", "america": "US",
     "uk": "GB", "u.k": "GB", "u.k.": "GB", "great britain": "GB", "england": "GB", "united kingdom": "GB",
@@ -116,12 +118,28 @@ SKILL_ALIASES: dict[str, list[str]] = {
 # --- End of fixed values ----------------------------------------------------------------------------------------------
 
 
+_countries: dict[str, str] = {}
+
+
+def country_table() -> dict[str, str]:
+    """Two-letter codes by three-letter code and by English name, lower-case, from the JVM's locale data; empty in a
+    session without a JVM gateway, where the tables above count alone."""
+    spark = SparkSession.getActiveSession()
+    if not _countries and spark is not None and hasattr(spark, "_jvm"):
+        locale = spark._jvm.java.util.Locale
+        for code in locale.getISOCountries():
+            at = locale("", code)
+            for name in (at.getISO3Country(), at.getDisplayCountry(locale.ENGLISH)):
+                if name:
+                    _countries.setdefault(name.lower(), code)
+    return _countries
+
+
 def lookup(source: Column, table: dict[str, float | int | str], default=None) -> Column:
-    """A small fixed table as one conditional expression: no join, no shuffle."""
-    out = F
-    for k, v in table.items():
-        out = out.when(source == F.lit(k), F.lit(v))
-    return out.otherwise(F.lit(default))
+    """A value of a small fixed table, which is one literal in the plan: no join, no shuffle."""
+    kind = "string" if any(isinstance(v, str) for v in table.values()) else "int" if all(isinstance(v, int) for v in table.values()) else "double"
+    found = F.element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>"), source.cast("string"))
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def priority(source: Column) -> Column:

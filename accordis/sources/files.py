@@ -55,10 +55,20 @@ def write_merge_log(log: DataFrame, path: str) -> None:
 
 
 def zip_profiles(profiles: DataFrame, most: int = 10_000) -> bytes:
-    """A ZIP of one JSON file a successful profile (candidate_id, full_name, json), for downloads of at most `most`."""
+    """A ZIP for download of one JSON file a successful profile (candidate_id, full_name, json and, if there, status).
+
+    It is put together on the driver. More than `most` profiles are an error; write_profiles() takes any number."""
+    good = profiles.where("status = 'ok'") if "status" in profiles.columns else profiles
+    if good.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} profiles: use write_profiles()")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in profiles.limit(most).toLocalIterator():
+        for r in good.toLocalIterator():
             name = re.sub("/", "-", re.sub(" ", "_", r["full_name"] or "unknown"))
             z.writestr(f"candidate_{r['candidate_id'][:8]}_{name}.json", json.dumps(json.loads(r["json"]), indent=2, ensure_ascii=False))
     return out.getvalue()
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """The JSON of any number of profiles, a compressed line each, written by the executors."""
+    profiles.select("json").write.mode("overwrite").option("compression", "gzip").text(path)

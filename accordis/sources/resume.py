@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordis import reference as ref
-from accordis.functions.text import is_empty, normalize_whitespace, years_of_experience
+from accordis.functions.text import normalize_whitespace, years_of_experience
 from accordis.sources import observed as ob
 
 MONTH = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|" + "|".join(m for m in ref.MONTHS if m != "May")
@@ -112,21 +112,16 @@ def resume_observations(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = d.select("candidate_key", "text", "contact", *[get(x).alias(x) for x in ("summary", "skills", "experience", "education")])
     c = F.col
     years = years_of_experience(F.concat(c("summary"), F.lit("\n"), F.substring("text", 1, 500)))
-    none, empty = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
-    row = lambda field, i, value, entry, raw: F.struct(F.lit(field).alias("field"), i.cast("int").alias("item_ord"), value.alias("value"), entry.alias("entry"), raw.alias("raw"))
-    single = lambda field, x, raw=None: F.array(row(field, F.lit(0), x.cast("string"), empty, x.cast("string") if raw is None else raw))
-    many = lambda field, xs, fix=lambda x: x: F.transform(xs, lambda x, i: row(field, i, fix(x), empty, x))
-    nested = lambda field, xs: F.transform(xs, lambda x, i: row(field, i, none, x, F.to_json(x)))
+    single = lambda field, x, raw=None: F.array(ob.row(field, F.lit(0), x, raw=raw))
+    many = lambda field, xs, fix=lambda x: x: F.transform(xs, lambda x, i: ob.row(field, i, fix(x), raw=x))
+    nested = lambda field, xs: F.transform(xs, lambda x, i: ob.row(field, i, entry=x))
     links = F.map_filter(F.map_from_arrays(F.array(F.lit("linkedin"), F.lit("github")), F.array(profile_url(c("contact"), r"linkedin\.com/in/"), profile_url(c("contact"), r"github\.com/"))), lambda k, v: v.isNotNull())
     blocks = F.filter(F.transform(F.split(F.trim(c("education")), "\n\n"), lambda b: F.trim(b)), lambda b: b != "")
     values = F.concat(
         single("full_name", person_name(c("text"))), single("location", place(c("contact"))), single("headline", headline(c("summary"))), single("years_experience", years, F.concat(years.cast("string"), F.lit(" years"))),
         many("emails", emails(c("contact")), F.lower), many("phones", phones(c("contact"))), many("skills", skills(c("skills"))),
         nested("experience", F.transform(split_entries(F.trim(c("experience"))), experience_entry)), nested("education", F.transform(blocks, education_entry)),
-        F.array(row("links", F.lit(0), none, F.when(F.size(links) > 0, links), F.to_json(links))),
+        F.array(ob.row("links", F.lit(0), entry=F.when(F.size(links) > 0, links))),
     )
-    x = d.select("candidate_key", F.explode(values).alias("x")).where(~is_empty(F.col("x.value")) | F.col("x.entry").isNotNull())
-    out = x.select(
-        F.col("candidate_key").cast("string").alias("candidate_key"), "x.field", F.lit("Resume").alias("source"), "x.item_ord", "x.value", "x.entry", "x.raw", F.lit(ref.BASE_CONFIDENCE["Resume"]).alias("confidence"), F.lit(ref.METHODS["Resume"]).alias("method")
-    )
+    out = ob.exploded(d, "Resume", values)
     return out, ob.status(t, "Resume", F.col("ok"), F.array(F.when(~F.col("ok"), F.lit("no text could be read"))))
