@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.shared import dropped, lean, map_arrow, one, resolve, small, written
+from accordis.llm.shared import dropped, lean, map_arrow, one, plain_names, resolve, small, written
 
 U = np.uint64
 K = 5
@@ -364,6 +364,7 @@ def jaccard_join(docs: DataFrame, *, k: int = K, num: int = 80, den: int = 100)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@plain_names
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of linked ones, all columns: the smallest doc_id (a null one last), then the smallest
     hash of the text; repeated rows of it are one. Documents without words all stay, repeated rows too."""

@@ -8,7 +8,7 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordis.llm.shared import written
+from accordis.llm.shared import plain_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -156,6 +156,7 @@ def _planned(docs: DataFrame, *, members: Column | None = None, weights: tuple[f
     return out.withColumn("__times", F.col("whole") + (F.col("__key") <= F.col("cut")).cast("int")).drop("__in", "__key", "in2", "whole", "cut")
 
 
+@plain_names
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with size, source_size, target, times (copies that the mix takes) and taken (times x size); columns of docs
     with these names give way. Options and cases: see _planned."""
@@ -167,6 +168,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.withColumn("taken", F.col("times") * F.col("size"))
 
 
+@plain_names
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document of docs as often as it is taken, in the columns of docs."""
     out = _planned(docs, **options).where("__times > 0")

@@ -78,7 +78,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, dims: int = 256, width
     Labels of the ids with crc32 mod 5 = 0 are never read into the fit; folds 1 to 3 give the regression, fold 4
     the calibration (without it, or with one class there, the clipped ridge score is the result). Only statistics
     of the text are inputs. Null or empty text scores as a document of no words. Without labels every score is
-    0.5. Labels repeated for an id count once (greatest value). A null doc_id is in no fold: held_out is false.
+    0.5. Labels repeated for an id count once (greatest value), null labels and ids not at all. A null doc_id is in no
+    fold: held_out is false. Repeated rows give repeated results (and weigh as often in the fit). A very long text is
+    read whole. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     stats = written(with_stats(docs), "scores")
     lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordis.llm.shared import written
+from accordis.llm.shared import dropped, plain_names, written
 from accordis.llm.stats import BASE, FEATURES, annotated, with_stats
 
 
@@ -114,33 +114,45 @@ def base_failed(prefix: str = "") -> Column:
     return (words < 50) | (100 * repeats > 50 * words)
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, sample: int, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features of about `sample` labelled rows at most: if there are more, those whose seeded hash is below the share
-    that is wanted, so that no partition sends more than its part. The bound is on what is learnt from only."""
+def sampled(labels: DataFrame, sample: int, seed: int = 0) -> DataFrame:
+    """doc_id, place and quality of about `sample` labels at most: if there are more, those whose seeded hash is below the
+    share that is wanted, so that no partition sends more than its part. The bound is on what is learnt from only."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     share = min(1.0, sample / max(1, lab.count()))
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    t = stats.join(lab.where(place < int(share * (1 << 30))), "doc_id").select(place.alias("place"), "quality", *FEATURES).toPandas().sort_values(["place", *FEATURES])
+    return lab.where(place < int(share * (1 << 30))).select("doc_id", place.alias("place"), "quality")
+
+
+def training_rows(stats: DataFrame, lab: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Features and rejection of the rows of stats that sampled() labels name, in an order of their own."""
+    t = stats.join(lab, "doc_id").select("place", "quality", *FEATURES).toPandas().sort_values(["place", *FEATURES])
     return {f: t[f].to_numpy(float) for f in FEATURES}, t["quality"].to_numpy() == 0
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, precision: float = 0.9) -> tuple[DataFrame, list[Rule]]:
     """Base counts, features, base_failed and kept of each document, and the learnt rules in order.
 
-    docs: doc_id, text (others ignored). labels: doc_id, quality (0 rejects; repeated ids count once, with the
-    greatest value). One pass over the texts; the thin statistics are written to the shared folder. Learning sees
-    about `sample` labelled rows at most on the driver. Null or empty text: counts 0, base_failed. No labels, or labels
-    of one class: the base alone decides. Repeated rows give repeated results.
+    docs: doc_id, text (others ignored, whatever their names). labels: doc_id, quality (0 rejects; a null label or id is
+    none; repeated ids count once, with the greatest value). One pass over the texts; the thin statistics are written to
+    the shared folder. Learning sees about `sample` labelled rows at most on the driver. Null or empty text: counts 0,
+    base_failed. A very long text is counted whole. No labels, or labels of one class: the base alone decides. Of tests
+    of equal gain the first feature's lowest threshold counts. Repeated rows give repeated results. Empty table: no rows.
     """
     stats = written(with_stats(docs), "rules")
-    x, bad = training_rows(stats, labels, sample)
+    x, bad = training_rows(stats, sampled(labels, sample))
     rules = learn(x, bad, precision=precision)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that the base and the learnt rules keep (cases: see quality_rules)."""
-    _, rules = quality_rules(docs, labels, **options)
+@plain_names
+def accepted(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000, precision: float = 0.9) -> DataFrame:
+    """The documents, all columns, that the base and the learnt rules keep (cases: see quality_rules). Statistics are
+    counted of the sampled labelled documents to learn, and then of all in the pass that keeps or drops them."""
+    lab = written(sampled(labels, sample), "labels")
+    # About `sample` rows of three numbers, so the join's other side is never moved.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab.select("doc_id")), "doc_id", "left_semi")
+    rules = learn(*training_rows(with_stats(own), F.broadcast(lab)), precision=precision)
+    dropped(lab)
     q = "__q_"
     return annotated(docs).where(~base_failed(q) & verdict(rules, q)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -153,6 +153,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     One narrow pass; no shuffle. spans lists the fixed patterns (assign, access, hex) and, with the kinds ident,
     secret and endpoint, weak parts that the linking adds, as kind:start:end in code points (end exclusive), by
-    start. A null text counts as empty: no spans, the digest of an empty string. Repeated rows give repeated rows.
+    start, then kind (in the order assign, access, hex, ident, secret, endpoint), then end; equal spans of a kind are
+    one. A null text counts as empty: no spans, the digest of an empty string. A very long text is read whole. A null
+    doc_id keeps its row, repeated rows give repeated rows, an empty table none; other columns are ignored.
     """
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _batches, SCHEMA)

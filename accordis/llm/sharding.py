@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accordis.llm.shared import written
+from accordis.llm.shared import plain_names, written
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 Point = tuple[int, int, int, int]
@@ -55,31 +55,35 @@ def splitters(thin: DataFrame, parts: int, tolerance: float, most_cells: int = 1
             else:
                 deep[k] = (c, below, count)
         level += bits
-    for h in sorted({v[0] for v in deep.values()}):
-        rows = thin.where(F.col("h") == h)
-        first, last = rows.agg(F.min("id"), F.max("id")).first()
-        ends = {k: (first, last, v[1], v[2]) for k, v in deep.items() if v[0] == h}
-        for lo, hi in sorted({v[:2] for v in ends.values()}):
-            todo = {(lo, hi)}
-            while todo:
-                lo, hi = todo.pop()
-                step = -(-(hi - lo + 1) // 4096)
-                cell = F.expr(f"(cast(id as decimal(20,0)) - cast({lo} as decimal(20,0))) div cast({step} as decimal(20,0))")
-                got = sorted((int(x["c"]), int(x["b"]), int(x["n"])) for x in rows.where(F.col("id").between(lo, hi)).groupBy(cell.alias("c")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
-                for k in [k for k, v in ends.items() if v[:2] == (lo, hi)]:
-                    _, _, below, count = ends.pop(k)
-                    for c, b, n in got:
-                        if below + b > want[k]:
-                            break
-                        below, count = below + b, count + n
-                    down, up, z = want[k] - below, below + b - want[k], lo + (c + 1) * step
-                    if step > 1 and n > 1 and min(down, up) > slack:
-                        ends[k] = (lo + c * step, min(hi, z - 1), below, count)
-                        todo.add(ends[k][:2])
-                    elif down <= up or z > HIGH:
-                        done[k] = (h, lo + c * step, below, count)
-                    else:
-                        done[k] = (h, z, below + b, count + n)
+    if deep:
+        hot = thin.where(F.col("h").isin(sorted({v[0] for v in deep.values()})))
+        span = {r["h"]: (r["a"], r["z"]) for r in hot.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).collect()}
+        ends = {k: (v[0], *span[v[0]], v[1], v[2]) for k, v in deep.items()}
+        while ends:
+            # All splitters' intervals of ids are counted in one job; they are at most as many as splitters.
+            todo = {i: (h, lo, hi, -(-(hi - lo + 1) // max(2, most_cells // len(ends)))) for i, (h, lo, hi) in enumerate(sorted({v[:3] for v in ends.values()}))}
+            table = thin.sparkSession.createDataFrame([(i, *v[:3], str(v[3])) for i, v in todo.items()], "i int, h long, lo long, hi long, step string")
+            inside = hot.join(F.broadcast(table), "h").where("id between lo and hi")
+            cell = F.expr("(cast(id as decimal(20,0)) - cast(lo as decimal(20,0))) div cast(step as decimal(20,0))")
+            got: dict[int, list] = {}
+            for x in inside.groupBy("i", cell.alias("c")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
+                got.setdefault(x["i"], []).append((int(x["c"]), int(x["b"]), int(x["n"])))
+            number = {v[:3]: i for i, v in todo.items()}
+            for k, (h, lo, hi, below, count) in list(ends.items()):
+                del ends[k]
+                i = number[h, lo, hi]
+                step = todo[i][3]
+                for c, b, n in sorted(got[i]):
+                    if below + b > want[k]:
+                        break
+                    below, count = below + b, count + n
+                down, up, z = want[k] - below, below + b - want[k], lo + (c + 1) * step
+                if step > 1 and n > 1 and min(down, up) > slack:
+                    ends[k] = (h, lo + c * step, min(hi, z - 1), below, count)
+                elif down <= up or z > HIGH:
+                    done[k] = (h, lo + c * step, below, count)
+                else:
+                    done[k] = (h, z, below + b, count + n)
     out = [done[k] for k in range(parts - 1)]
     for k in range(1, len(out)):  # tolerances may let neighbours cross
         out[k] = max(out[k], out[k - 1])
@@ -101,6 +105,7 @@ def _cells(points: list[Point], shards: int) -> tuple[int, list[tuple]]:
     return bits, out
 
 
+@plain_names
 def shard(docs: DataFrame, *, shards: int = 8, tolerance: float = 0.002, part_bytes: int = 64 << 20, least_parts: int = 8) -> DataFrame:
     """docs with size, text_crc32, law ("bytes"), shard, slot and grown_shard (null under this law).
 

@@ -7,10 +7,11 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
@@ -88,6 +89,19 @@ def column_place(df: DataFrame, name: str) -> int:
     return [c.lower() for c in df.columns].index(name.lower())
 
 
+def plain_names(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of documents that add columns of names in __: the documents' own such columns get other names
+    meanwhile, so that none clash."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        held = {c: f"held{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        out = fn(docs.withColumnsRenamed(held), *args, **options) if held else fn(docs, *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in held.items()}) if held else out
+
+    return run
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components by alternating large-star and small-star steps; no component meets in one task.
 
@@ -196,7 +210,7 @@ def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Boun
     lists: list, node (repeats are ignored); pairs: a, b to test besides; features: node, n (long), sketch (binary);
     bound(n, m, d) says which pairs may link whose sketches differ in d bits; verify(a, b) returns those that link.
     First each list's smallest node meets the others. A list of over IN_TASK nodes that still holds two components is
-    thinned in rounds: up to `width` of its nodes, of different components and four times as many each round, meet
+    thinned in rounds: about `width` of its nodes, of different components and four times as many each round, meet
     all nodes of other components and then leave it. Other lists compare the sketches of nodes of different
     components in a task, first for each node's nearest, then for all pairs that are still apart. So every pair of a
     list is tested or lies within a component. Of any pairs, each node's nearest is verified first, others only if
@@ -247,7 +261,11 @@ def resolve(lists: DataFrame, pairs: DataFrame, features: DataFrame, bound: Boun
         if not large.head(1):
             break
         lead = large.groupBy("list", "root").agg(F.min("node").alias("lead"))
-        lead = written(lead.withColumn("i", F.row_number().over(Window.partitionBy("list").orderBy("root"))).where(F.col("i") <= width).select("list", F.col("root").alias("lead_root"), "lead"), "leads")
+        # About `width` of a list's components by hash, and its least: no list is sorted in one task.
+        lead = written(lead, "heads")
+        count = written(lead.groupBy("list").agg(F.count("*").alias("roots"), F.min("root").alias("lo")), "counts")
+        chosen = lead.join(count, "list").where((F.pmod(F.xxhash64("root", F.lit(width)), F.col("roots")) < width) | (F.col("root") == F.col("lo")))
+        lead = written(chosen.select("list", F.col("root").alias("lead_root"), "lead"), "leads")
         test(screen(large.join(lead, "list").where("root <> lead_root").selectExpr("lead as a", "node as b")))
         left = members.select("list", "node").join(lead.selectExpr("list", "lead as node"), ["list", "node"], "left_anti")
         width *= 4

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
+from accordis.llm.shared import plain_names
 from accordis.llm.units import LOW, answered, pack, places, sent, unpack
 
 U = np.uint64
@@ -166,6 +167,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = 25) -> DataFrame:
     return answered(letters, _match, _assemble(least_words), schema, kinds)
 
 
+@plain_names
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, without the duplicate stretches of repeated passages."""
     return without(docs, repeated_spans(docs, **options).where("duplicate"))

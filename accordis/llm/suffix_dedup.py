@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordis.llm import text as tx
-from accordis.llm.shared import arrow_batches, column_place
+from accordis.llm.shared import arrow_batches, column_place, plain_names
 from accordis.llm.units import LOW, answered, pack, places, sent, unpack
 
 U = np.uint64
@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFr
     return answered(letters, _match(least_words), _assemble, schema, pa.schema([*((k, pa.int64()) for k in KINDS), ("duplicate", pa.bool_())]))
 
 
+@plain_names
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, without the duplicate spans (from a span's first word to its last, with what is between)."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))

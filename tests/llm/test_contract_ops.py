@@ -171,6 +171,128 @@ def test_sharding(spark, awkward):
     assert again == {(r.doc_id, r.shard, r.slot) for r in sharding.shard(docs).collect()}
 
 
+def brute_linked(text, base, window=240):
+    """Every weak part against every other part of its scope, pair by pair."""
+    parts = secrets._parts(text, base)
+    cuts = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda a: sum(c <= a for c in cuts)
+    out = []
+    for p in parts:
+        if p[3]:
+            continue
+        near = [q for q in parts if abs(q[0] - p[0]) <= window and (scope(q[0]) == scope(p[0]) or q[0] in (cuts[scope(p[0])] if scope(p[0]) < len(cuts) else -1,))]
+        has = {(q[2], q[3]) for q in near}
+        ident, secret = ("ident", True) in has, ("secret", True) in has
+        weak_ident, weak_secret, end = ("ident", False) in has, ("secret", False) in has, ("endpoint", False) in has
+        if {"secret": ident or weak_ident and end, "ident": secret or weak_secret and end, "endpoint": (ident or weak_ident) and (secret or weak_secret)}[p[2]]:
+            out.append((p[0], p[2], p[1]))
+    return out
+
+
+def test_linking_against_all_pairs():
+    rng = np.random.default_rng(6)
+    pieces = ["client_id: svc-reader", "Zk8Qw3Lm9Xr2Vt5Yb7", "db.example.com:5432", "https://host.example/x", "AKIA" + "B" * 16, "AKIA" + "C" * 13, "password = hunter2hunter", "token: ab", "user=bob", "\n\n", "\n \t\n", "plain words here", "w " * 60, "é " * 40]
+    found = 0
+    for _ in range(1500):
+        text = " ".join(rng.choice(pieces, rng.integers(1, 14)))
+        base, more = secrets.scan(text)
+        assert more == brute_linked(text, base), text
+        found += len(more)
+    assert found > 1000
+
+
+def test_classifier_against_numpy(spark):
+    """Normal equations, calibration and scores of a small table, computed once more without Spark."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["spam!!"] * int(rng.integers(1, 60)) if i % 3 == 0 else [f"word{x}" for x in rng.integers(0, 50, rng.integers(5, 80))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 7 == 0)) for i, _ in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.quality_scores(docs, labels, dims=32).collect()}
+    stats = {r.doc_id: [r[f] for f in quality_classifier.FEATURES] for r in quality_classifier.with_stats(docs).collect()}
+    x = np.array([stats[i] for i, _ in rows])
+    y = np.array([float(i % 3 > 0 or i % 7 == 0) for i, _ in rows])
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    fit, cal = (fold > 0) & (fold < 4), fold == 4
+    kernel = quality_classifier.Kernel(x[fit].mean(0), x[fit].std(0), 32, 3.0, 11)
+    z = kernel(x)
+    # The features' inner products are near the Gaussian kernel's values.
+    many = quality_classifier.Kernel(x[fit].mean(0), x[fit].std(0), 4096, 3.0, 1)
+    s = np.clip((x[:40] - many.mean) / many.std, -8, 8)
+    exact = np.exp(-((s[:, None] - s[None]) ** 2).sum(2) / (2 * 3.0**2))
+    assert np.abs(many(x[:40])[:, :-1] @ many(x[:40])[:, :-1].T - exact).max() < 0.1
+    a, b = quality_classifier.normal_equations(docs.select("doc_id").join(spark.createDataFrame([(i, float(t), *map(float, v)) for (i, _), t, v in zip(rows, y, x, strict=True)], ["doc_id", "y", *quality_classifier.FEATURES]), "doc_id").repartition(5), kernel)
+    assert np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+    coef = np.linalg.solve(z[fit].T @ z[fit] + (1e-4 * fit.sum() + 1e-3) * np.eye(33), z[fit].T @ y[fit])
+    raw = z @ coef
+    bins = np.floor(np.clip(raw[cal], -0.5, 1.5) * 200)
+    cells = [(raw[cal][bins == c].mean(), y[cal][bins == c].mean(), (bins == c).sum()) for c in np.unique(bins)]
+    # Least squares under order, by the min-max formula.
+    m, w = np.array([c[1] for c in cells]), np.array([c[2] for c in cells], float)
+    best = [max(min((m[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum() for j in range(k, len(m))) for i in range(k + 1)) for k in range(len(m))]
+    xs, ys = quality_classifier.isotonic(np.array([c[0] for c in cells]), m, w)
+    assert np.allclose(sorted(set(np.round(ys, 9))), sorted(set(np.round(best, 9))))
+    want = np.clip(0.999 * np.interp(raw, xs, ys) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    assert np.abs(np.array([got[i] for i, _ in rows]) - want).max() < 1e-6
+
+
+def best_flow(supply, demand, member, most):
+    """Least (unmet demand, cost) over all whole flows."""
+    import itertools
+
+    arcs = [(i, j) for i, m in enumerate(member) for j in m]
+    best = None
+    for f in itertools.product(*[range(min(most * supply[i], demand[j]) + 1) for i, j in arcs]):
+        out = [sum(x for x, (i, _) in zip(f, arcs, strict=True) if i == k) for k in range(len(supply))]
+        into = [sum(x for x, (_, j) in zip(f, arcs, strict=True) if j == k) for k in range(len(demand))]
+        if any(o > most * s for o, s in zip(out, supply, strict=True)) or any(x > d for x, d in zip(into, demand, strict=True)):
+            continue
+        cost = sum(k * max(0, min(o - k * s, s)) for o, s in zip(out, supply, strict=True) for k in range(most))
+        best = min(best or (1e9, 0), (sum(demand) - sum(into), cost))
+    return best
+
+
+def test_flow_against_all_flows():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, m, most = int(rng.integers(1, 4)), int(rng.integers(1, 3)), int(rng.integers(1, 4))
+        supply, demand = rng.integers(1, 4, n).tolist(), rng.integers(1, 6, m).tolist()
+        member = [sorted(rng.choice(m, rng.integers(1, m + 1), replace=False).tolist()) for _ in range(n)]
+        f = mixing.min_cost_flow(list(map(float, supply)), list(map(float, demand)), member, most)
+        out = [sum(x.values()) for x in f]
+        into = [sum(x.get(j, 0.0) for x in f) for j in range(m)]
+        assert all(o <= most * s + 1e-6 for o, s in zip(out, supply, strict=True)) and all(x <= d + 1e-6 for x, d in zip(into, demand, strict=True))
+        cost = sum(k * max(0.0, min(o - k * s, s)) for o, s in zip(out, supply, strict=True) for k in range(most))
+        unmet, least = best_flow(supply, demand, member, most)
+        assert abs(sum(demand) - sum(into) - unmet) < 1e-6 and abs(cost - least) < 1e-6, (supply, demand, member, most)
+
+
+def test_clashing_names(spark):
+    """Columns of the operators' own inner names come through unchanged."""
+    from accordis.llm import decontaminate, jaccard_join, line_dedup, substring_dedup, suffix_dedup
+
+    names = ["__id", "__th", "__h", "__q_n_words", "__q_log_words", "__size", "__times", "__copy", "__key", "__cuts", "__gone", "Shard", "size", "n_words", "item_id", "kept"]
+    d = spark.createDataFrame([(i, f"line {i} of some words\nand more words of text {i % 3}", "a", *[f"{n}{i}" for n in names]) for i in range(9)], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in ["doc_id", "text", "source", *names]))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "nothing of the kind is in any of these")], "item_id long, text string")
+    for out in (quality_rules.accepted(d, labels), jaccard_join.deduplicated(d), decontaminate.clean(d, bench), mixing.mixed(d), line_dedup.deduplicated(d), substring_dedup.deduplicated(d), suffix_dedup.deduplicated(d)):
+        assert out.columns == d.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    for out, own in ((mixing.mix(d), {"size"}), (sharding.shard(d), {"size", "Shard"})):
+        rows = out.collect()
+        assert len(rows) == 9 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names if n not in own)
+
+
+def test_hot_text_is_cut_by_id(spark):
+    """Splitters inside one text's rows: all intervals of a level in one job, near equal bytes, whatever the ids."""
+    rng = np.random.default_rng(3)
+    ids = [int(x) for x in np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 3000))]
+    d = spark.createDataFrame([(i, "copy " * 20 if k % 10 else f"other {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    size = Counter()
+    for r in sharding.shard(d, least_parts=4).collect():
+        size[r.shard] += r.size
+    assert len(size) == 8 and max(size.values()) <= 1.03 * sum(size.values()) / 8
+
+
 def test_hint_of_a_whole_step():
     """A step of exactly 24 bytes, all hexadecimal digits."""
     import numpy as np

@@ -140,6 +140,47 @@ def test_documents(spark):
         assert len(sure - found) <= 0.02 * len(sure) and not found - maybe, (module.__name__, len(sure), len(sure - found), found - maybe)
 
 
+def test_chunks_against_all_documents(spark, monkeypatch):
+    """Spans of whole texts against a table of all chunks by their bytes."""
+    monkeypatch.setattr(units, "UNIT_BYTES", 300_000)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = sorted({(r.doc_id, r.th, r.text or "") for r in d.selectExpr("doc_id", "xxhash64(text) th", "text").collect()})
+    chunks, at = [], {}
+    for k, (_, _, t) in enumerate(docs):
+        b = t.encode()
+        cut = [*sub.chunk_starts(np.frombuffer(b, np.uint8), np.array([0, len(b)])).tolist(), len(b)] if b else []
+        chunks.append([b[a:z] for a, z in zip(cut, cut[1:], strict=False)])
+        for n, c in enumerate(chunks[-1]):
+            at.setdefault(c, []).append((k, n))
+    want = []
+    for k, (i, th, t) in enumerate(docs):
+        words = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        place, run = 0, []
+        rows = []
+        for n, c in enumerate([*chunks[k], None]):
+            if c is not None and len(at[c]) > 1:
+                first = at[c][0]
+                run.append((place, place + len(c), first == (k, n), docs[first[0]][0]))
+            elif run:
+                rows.append(run)
+                run = []
+            place += len(c or b"")
+        for run in rows:
+            n_words = lambda a, z: sum(a <= w < z for w in words)  # noqa: E731, B023
+            if n_words(run[0][0], run[-1][1]) < 25:
+                continue
+            points = lambda x: len(t.encode()[:x].decode())  # noqa: E731, B023
+            part = [run[0]]
+            for x in [*run[1:], None]:
+                if x is not None and x[2] == part[0][2]:
+                    part.append(x)
+                    continue
+                want.append((i, th, points(part[0][0]), points(part[-1][1]), n_words(part[0][0], part[-1][1]), min(p[3] for p in part), not part[0][2]))
+                part = [x]
+    got = {tuple(r) for r in sub.repeated_spans(d.repartition(7)).collect()}
+    assert got == set(want) and len(want) > 500
+
+
 def kept(spark, docs):
     return {r.doc_id: r.text.split() for r in suf.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
 
