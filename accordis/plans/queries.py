@@ -224,9 +224,10 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
 @query("select p_partkey, cast(3 as bigint) as n_entries, p_name as title, p_brand as company, '2019' as start_date, 'Present' as end_date from part")
 def entry_split(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("p_name"), F.lit(" at "), F.col("p_brand"), F.lit("\nsmall\n2019 - Present line\nmore words\nJan note\nend"))
-    blocks = resume.split_entries(text)
-    e = resume.experience_entry(F.concat(F.get(blocks, F.lit(0)), F.lit("\n"), F.get(blocks, F.lit(1))))
-    return _t(spark, d, "part").select("p_partkey", F.size(blocks).cast("long").alias("n_entries"), e["title"].alias("title"), e["company"].alias("company"), F.regexp_replace(e["start_date"], r"\s", "").alias("start_date"), e["end_date"].alias("end_date"))
+    entry = lambda b: resume.experience_entry(F.concat(F.get(b, F.lit(0)), F.lit("\n"), F.get(b, F.lit(1))))
+    row = lambda b, e: F.struct(F.size(b).cast("long").alias("n_entries"), e["title"].alias("title"), e["company"].alias("company"), F.regexp_replace(e["start_date"], r"\s", "").alias("start_date"), e["end_date"].alias("end_date"))
+    x = tx.bound(resume.split_entries(text), lambda b: tx.bound(entry(b), lambda e: row(b, e)))
+    return _t(spark, d, "part").select("p_partkey", F.explode(F.array(x)).alias("x")).select("p_partkey", "x.*")
 
 
 @query("select p_partkey, case when p_name = p_type then p_name else p_name || ';' || p_type end || ';' || p_brand as skills from part")

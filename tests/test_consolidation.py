@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,23 @@ def test_stream(spark, tmp_path):
         consolidate_stream(s, str(tmp_path / "store"), merge.vote, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     now = latest(spark.read.parquet(str(tmp_path / "out")), ["candidate_key", "field"])
     assert {(r.candidate_key, r.score) for r in now.collect()} == {("1", 0.98), ("2", 0.85)}
+
+
+def test_long_section(spark):
+    """Lines are split and searched once: of an expression that a lambda repeats, a long section would never end."""
+    jobs = [f"Title {i} at Firm {i}\nx\n{2000 + i % 20} - Present\nmore {i}" for i in range(600)]
+    blocks = resume.split_entries(F.col("t"))
+    df = spark.createDataFrame([("\n".join(jobs),), ("one ",), ("",), (None,)], "t string")
+    began = time.time()
+    got = [r.b for r in df.select(blocks.alias("b")).collect()]
+    assert time.time() - began < 60
+    assert len(got[0]) == 601 and got[0][0] == "Title 0 at Firm 0\nx" and got[0][1] == "2000 - Present\nmore 0\nTitle 1 at Firm 1\nx" and got[1:] == [["one"], [], None]
+    entries_of = [r.e for r in df.select(F.transform(blocks, resume.experience_entry).alias("e")).collect()]
+    assert entries_of[0][0] == {"title": "Title 0", "company": "Firm 0", "description": ""} and entries_of[0][1]["start_date"] == "2000" and entries_of[1:] == [[{"title": "one", "company": "", "description": ""}], [], None]
+
+
+def test_entry_split_plan(spark):
+    from accordis.plans import queries
+
+    plan = queries.entry_split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_extract_all") == 1
